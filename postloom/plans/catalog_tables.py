@@ -144,14 +144,14 @@ incoming AS (
 
 @query("q10_upsert_contacts", """
 SELECT id, job_id, company, domain, name, email, role, source, verified FROM (
-  SELECT struct_extract(arg_min(struct_pack(v := id), at), 'v') AS id, struct_extract(arg_min(struct_pack(v := job_id), at), 'v') AS job_id, company,
-         struct_extract(arg_min(struct_pack(v := domain), at), 'v') AS domain,
-         arg_max(name, at) AS name, email, arg_max(role, at) AS role,
-         struct_extract(arg_max(struct_pack(v := source), at), 'v') AS source, struct_extract(arg_max(struct_pack(v := verified), at), 'v') AS verified
+  SELECT struct_extract(arg_min(struct_pack(v := id), ord), 'v') AS id, struct_extract(arg_min(struct_pack(v := job_id), ord), 'v') AS job_id, company,
+         struct_extract(arg_min(struct_pack(v := domain), ord), 'v') AS domain,
+         arg_max(name, ord) AS name, email, arg_max(role, ord) AS role,
+         struct_extract(arg_max(struct_pack(v := source), ord), 'v') AS source, struct_extract(arg_max(struct_pack(v := verified), ord), 'v') AS verified
   FROM everything WHERE email IS NOT NULL GROUP BY company, email
   UNION ALL SELECT id, job_id, company, domain, name, email, role, source, verified FROM everything WHERE email IS NULL)""",
        ["contacts"], ctes=_INCOMING + """,
-everything AS (SELECT id, job_id, company, domain, name, email, role, source, verified, 0 AS at FROM contacts
+everything AS (SELECT id, job_id, company, domain, name, email, role, source, verified, 0 AS ord FROM contacts
   UNION ALL SELECT id, job_id, company, domain, name, email, role, source, verified, seq FROM incoming)""")
 def _(spark, d):
     contacts = view(spark, d, "contacts")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom import lexicon
+from postloom.functions.frames import computed
 from postloom.functions.text import collapse, count_terms, fill, has_any, nz, strip
 from postloom.functions.urls import blocked_domain, normalize_url
 
@@ -57,10 +58,10 @@ def score_results(results: DataFrame, min_score: int = 2, seq: str = "seq", scop
     found by a pre-aggregated minimum and matched by ``seq``, so a URL with many copies never
     meets in one task.
     """
-    rows = results.withColumn("norm_url", normalize_url("url"))
-    rows = rows.withColumn(
-        "_early",
-        F.when(F.col("norm_url") == "", "missing_url").when(blocked_domain("norm_url"), "blocked_domain"),
+    rows = computed(results, norm_url=normalize_url("url"))
+    rows = computed(
+        rows,
+        _early=F.when(F.col("norm_url") == "", "missing_url").when(blocked_domain("norm_url"), "blocked_domain"),
     )
     firsts = (
         rows.where(F.col("_early").isNull())

@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from postloom.plans import catalog_ingest, catalog_outreach, catalog_sources, catalog_tables  # noqa: F401
+from postloom.plans import (  # noqa: F401
+    catalog_ingest,
+    catalog_outreach,
+    catalog_sources,
+    catalog_streaming,
+    catalog_tables,
+)
 from postloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

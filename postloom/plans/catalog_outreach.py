@@ -49,7 +49,7 @@ def _(spark, d):
 
 
 @query("f5_candidates", """
-SELECT trim(title) AS title, norm_url AS url, query, CAST(score AS INT) AS score
+SELECT trim(title, concat(' ', chr(10))) AS title, norm_url AS url, query, CAST(score AS INT) AS score
 FROM scored JOIN search_results USING (seq) WHERE reason = 'accepted'""", ["search_results"], ctes=_SCORED)
 def _(spark, d):
     found = search.candidates(search.score_results(view(spark, d, "search_results")))
@@ -245,17 +245,17 @@ def _(spark, d):
     return matching.draft_candidates(batch, view(spark, d, "contacts")).select("id", "contacts_seen", "contact_id")
 
 
-_SHORT = "concat(substring(batch.company, 3, 14), CASE WHEN batch.sk % 3 = 0 THEN '_' ELSE '' END)"
+_SHORT = "CASE WHEN batch.sk % 3 = 0 THEN concat(substring(batch.company, 14, 4), '_') ELSE substring(batch.company, 14, 5) END"
 
 
 @query("j1_draft_candidates_all", f"""
-SELECT name AS company, contacts_seen, contact_id FROM (
-  SELECT name, count(*) AS contacts_seen,
+SELECT firm AS company, contacts_seen, contact_id FROM (
+  SELECT firm, count(*) AS contacts_seen,
     arg_min(contact_id, nth + CASE WHEN verified = 'verified' THEN 0 ELSE 1000 END) FILTER (WHERE verified <> 'invalid') AS contact_id
-  FROM (SELECT name, contacts.id AS contact_id, verified,
-          row_number() OVER (PARTITION BY name ORDER BY contacts.created_at DESC, contacts.id) AS nth
-        FROM (SELECT DISTINCT {_SHORT} AS name FROM jobs batch WHERE status = 'new')
-        JOIN contacts ON contacts.company ILIKE concat('%', name, '%')) WHERE nth <= 50 GROUP BY name)""", ["jobs", "contacts"])
+  FROM (SELECT firm, contacts.id AS contact_id, verified,
+          row_number() OVER (PARTITION BY firm ORDER BY contacts.created_at DESC, contacts.id) AS nth
+        FROM (SELECT DISTINCT {_SHORT} AS firm FROM jobs batch WHERE status = 'new')
+        JOIN contacts ON contacts.company ILIKE concat('%', firm, '%')) WHERE nth <= 50 GROUP BY firm)""", ["jobs", "contacts"])
 def _(spark, d):
     """All new jobs at once, with company names that are pieces and patterns of the contacts' ones."""
     name = F.expr(_SHORT.replace("batch.", ""))

@@ -256,7 +256,7 @@ def _(spark, d):
                      CASE WHEN pk % 5 <> 0 THEN 'Posted May 16, 2026 ' ELSE '' END, '12 days left')""")
     href = F.expr("concat('/', CASE WHEN pk % 2 = 0 THEN 'jobs' ELSE 'internships' END, '/x-', pk)")
     title = F.initcap("role")
-    landed = view(spark, d, "postings").withColumn("role", title).select(
+    landed = _spread(spark, d).withColumn("role", title).select(
         "event_id", href.alias("href"), F.concat(front, marker, mode, "role", tail).alias("text")
     )
     rows = cards.parse_listing_cards(landed)

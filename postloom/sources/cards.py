@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom import lexicon
+from postloom.functions.frames import computed
 from postloom.functions.text import blank_to_null, collapse, nz, strip
 
 _EDGE = F.lit
@@ -28,26 +29,27 @@ def parse_listing_cards(
     up_to_mode = rf"(?is)^(.*?\b(?:{lexicon.CARD_WORK_MODE})\b)"
     one_line = collapse(nz(text))
 
-    step = cards.withColumn("_text", one_line).where(
+    step = computed(cards, _text=one_line).where(
         (F.length("_text") >= 20) & F.col("_text").rlike(split_at)
     )
-    step = step.withColumns({
-        "_pre": strip(F.regexp_extract("_text", split_at, 1)),
-        "_post": strip(F.regexp_extract("_text", split_at, 3)),
-    })
-    step = step.withColumns({
-        "_mode": F.regexp_extract("_post", work_mode, 1),
-        "_mode_end": F.length(F.regexp_extract("_post", up_to_mode, 1)),
-        "_place": F.regexp_extract("_post", lexicon.CARD_LOCATION, 0),
-        "_city": _trim_commas(strip(F.regexp_extract("_post", lexicon.CARD_LOCATION, 1))),
-        "_words": F.filter(F.split("_pre", " "), lambda w: w != ""),
-    })
+    step = computed(
+        step,
+        _pre=strip(F.regexp_extract("_text", split_at, 1)),
+        _post=strip(F.regexp_extract("_text", split_at, 3)),
+    )
+    step = computed(
+        step,
+        _mode=F.regexp_extract("_post", work_mode, 1),
+        _mode_end=F.length(F.regexp_extract("_post", up_to_mode, 1)),
+        _place=F.regexp_extract("_post", lexicon.CARD_LOCATION, 0),
+        _city=_trim_commas(strip(F.regexp_extract("_post", lexicon.CARD_LOCATION, 1))),
+        _words=F.filter(F.split("_pre", " "), lambda w: w != ""),
+    )
     place_end = F.when(
         F.col("_place") != "", F.instr("_post", F.col("_place")) - 1 + F.length("_place")
     ).otherwise(F.lit(0))
-    step = step.withColumn("_after", F.greatest("_mode_end", place_end)).withColumn(
-        "_tail", F.lower(strip(F.substring("_post", F.col("_after") + 1, F.length("_post"))))
-    )
+    step = step.withColumn("_after", F.greatest("_mode_end", place_end))
+    step = computed(step, _tail=F.lower(strip(F.substring("_post", F.col("_after") + 1, F.length("_post")))))
 
     count = F.size("_words")
 
@@ -59,20 +61,22 @@ def parse_listing_cards(
         lambda n: F.startswith(F.col("_tail"), F.lower(first_words(n))),
     )
     half = F.greatest(F.lit(1), F.floor(count / 2).cast("int"))
-    step = step.withColumn("_cut", F.coalesce(F.get(repeated, F.lit(0)), half))
-    step = step.withColumns({
-        "_role": strip(F.rtrim(first_words(F.col("_cut")), F.lit(" ,"))),
-        "_company": _trim_commas(
+    step = computed(step, _cut=F.coalesce(F.get(repeated, F.lit(0)), half))
+    step = computed(
+        step,
+        _role=strip(F.rtrim(first_words(F.col("_cut")), F.lit(" ,"))),
+        _company=_trim_commas(
             strip(F.array_join(F.slice("_words", F.col("_cut") + 1, F.greatest(count, F.lit(1))), " "))
         ),
-    })
+    )
     lead = F.split_part("_company", F.lit(" "), F.lit(1))
     moves = F.lower(lead).isin(*lexicon.ROLE_PREFIXES) & F.contains(F.col("_company"), F.lit(" "))
     rest = _trim_commas(strip(F.substring("_company", F.length(lead) + 1, F.length("_company"))))
-    step = step.withColumns({
-        "company": F.when(moves, rest).otherwise(F.col("_company")),
-        "role": F.when(moves, strip(F.concat_ws(" ", "_role", lead))).otherwise(F.col("_role")),
-    }).where((F.col("company") != "") & (F.col("role") != ""))
+    step = computed(
+        step,
+        company=F.when(moves, rest).otherwise(F.col("_company")),
+        role=F.when(moves, strip(F.concat_ws(" ", "_role", lead))).otherwise(F.col("_role")),
+    ).where((F.col("company") != "") & (F.col("role") != ""))
 
     city = (F.col("_city") != "") & ~F.contains(F.col("_city"), F.lit("Home")) & (F.length("_city") < 80)
     job_type = F.regexp_extract("_post", rf"(?i)\b({lexicon.CARD_JOB_TYPE})\b", 1)

@@ -66,13 +66,19 @@ def unique_url(incoming: DataFrame, target: DataFrame | None, order: Sequence[Co
 # -- admission with a time to live --------------------------------------------------------
 
 
-def _instants(df: DataFrame, key: Column, ts: Column, event_id: Column, limit: int) -> DataFrame:
-    """(key, instant, id), only the ``limit`` smallest ids of one instant: no other can win."""
-    slim = df.select(
+def _slim(df: DataFrame, key: Column, ts: Column, event_id: Column) -> DataFrame:
+    return df.select(
         key.cast("string").alias("_k"),
         F.unix_micros(ts.cast("timestamp")).alias("_t"),
         event_id.alias("_id"),
     )
+
+
+def _instants(slim: DataFrame, limit: int) -> DataFrame:
+    """Only the ``limit`` smallest ids of one instant of a key: no other can win.
+
+    Pruned before the shuffle; worth it for hot keys, where many events share an instant.
+    """
     if limit == 1:
         return slim.groupBy("_k", "_t").agg(F.min("_id").alias("_id"))
     window = Window.partitionBy("_k", "_t").orderBy("_id")
@@ -81,7 +87,7 @@ def _instants(df: DataFrame, key: Column, ts: Column, event_id: Column, limit: i
 
 def _fold(slim: DataFrame, ttl: int, limit: int, state: DataFrame | None) -> DataFrame:
     """Per key the admitted ids and the last window, by a fold over the sorted instants."""
-    per_key = slim.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_t", "_id"))).alias("_xs"))
+    per_key = slim.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_t", "_id"))).alias("_xs"))
     start, used = F.lit(None).cast("long"), F.lit(0)
     if state is not None:
         per_key = per_key.join(state.select("_k", "_start", "_n"), "_k", "left")
@@ -183,7 +189,7 @@ def admitted_ids(
 ) -> DataFrame:
     """Ids (column ``_id``) of the admitted events. ``state`` holds (_k, _start, _n) of earlier runs."""
     ttl_us = int(ttl.total_seconds() * 1_000_000)
-    slim = _instants(df, key, ts, event_id, limit)
+    slim = _slim(df, key, ts, event_id)
     counts = df.groupBy(key.cast("string").alias("_k")).count()
     hot = counts.where(F.col("count") > max_rows_per_key).select("_k")
     hot_keys = hot.count()
@@ -192,7 +198,7 @@ def admitted_ids(
     if hot_keys <= MAX_BROADCAST_KEYS:
         hot = F.broadcast(hot)
     cold = _fold(slim.join(hot, "_k", "left_anti"), ttl_us, limit, state)
-    chain = _hot_chain(slim.join(hot, "_k", "left_semi"), ttl_us, limit, state, max_rows_per_key)
+    chain = _hot_chain(_instants(slim.join(hot, "_k", "left_semi"), limit), ttl_us, limit, state, max_rows_per_key)
     return cold.select(F.explode("_ids").alias("_id")).unionByName(chain)
 
 

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom import lexicon, schemas
-from postloom.functions.text import LINE_END, blank_to_null, col, count_terms, fill, nz, strip, title_case
+from postloom.functions.text import LINE_END, blank_to_null, col, count_terms, fill, has_any, nz, strip, title_case
 from postloom.operators.filters import check_choice
 
 PREVIEW_CHARS = 300
 SHOWN_SKILLS = 8
+# Last words of the title patterns; a text without any of them holds no title.
+TITLE_HEADS = (
+    "engineer", "developer", "architect", "scientist", "analyst", "lead", "manager", "director",
+)
 
 
 # -- candidate profile ----------------------------------------------------------------------
@@ -21,13 +25,14 @@ def extract_years(low: Column) -> Column:
     tries = []
     for pattern in lexicon.EXPERIENCE_PATTERNS:
         tries.append(blank_to_null(F.regexp_extract(low, "(?U)" + pattern, 1)))
-    return F.coalesce(*tries).try_cast("bigint")
+    # Every pattern holds one of these words; most long texts hold neither.
+    return F.when(has_any(low, ("year", "yr")), F.coalesce(*tries).try_cast("bigint"))
 
 
 def extract_title(low: Column) -> Column:
     """Job title in a lower-case text, by the first pattern that occurs."""
     tries = [blank_to_null(F.regexp_extract(low, "(?U)" + p, 0)) for p in lexicon.TITLE_PATTERNS]
-    return strip(F.coalesce(*tries))
+    return F.when(has_any(low, TITLE_HEADS), strip(F.coalesce(*tries)))
 
 
 def extract_skills(low: Column) -> Column:

@@ -229,15 +229,45 @@ def view_ctes(names: list[str], engine: str) -> str:
     return ",\n".join(f"{n} AS ({_dialect(VIEWS[n], engine)})" for n in _closure(names))
 
 
+# Large tables and the key to spread them by.
+_SPREAD_BY = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id"}
+
+
+def _tasks_wanted(spark: SparkSession, path: str, name: str) -> int | None:
+    """Tasks to spread a table over if it has fewer splits than the cluster has cores, else None.
+
+    Only a table that is small next to the cluster is moved; with more splits than cores the scan
+    stays as it is.
+    """
+    if name not in _SPREAD_BY:
+        return None
+    cores = spark.sparkContext.defaultParallelism
+    splits = spark.read.parquet(path)._jdf.queryExecution().toRdd().getNumPartitions()
+    return cores if splits < cores else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    tasks = _tasks_wanted(spark, path, name)
+    if tasks:
+        df = df.repartition(tasks, _SPREAD_BY[name])
     naive = [f.name for f in df.schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
     return df.withColumns({c: df[c].cast("timestamp") for c in naive}) if naive else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    roots = ",\n".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES)
-    return spark.sql(f"WITH {roots},\n{view_ctes([name], 'spark')}\nSELECT * FROM {name}")
+    text = view_ctes([name], "spark")
+
+    def root(t: str) -> str:
+        path = f"{sf_dir}/{t}.parquet"
+        tasks = _tasks_wanted(spark, path, t)
+        hint = f"/*+ REPARTITION({tasks}, {_SPREAD_BY[t]}) */ " if tasks else ""
+        return f"{t} AS (SELECT {hint}* FROM parquet.`{path}`)"
+
+    used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)]
+    roots = ",\n".join(root(t) for t in used)
+    return spark.sql(f"WITH {roots},\n{text}\nSELECT * FROM {name}")
 
 
 def as_of() -> Column:

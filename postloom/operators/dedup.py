@@ -160,7 +160,8 @@ def _hot_chain(slim: DataFrame, ttl: int, limit: int, state: DataFrame | None, b
     width = _slice_width(rows, ttl, bound)
     span = (width or ttl) // ttl
     sliced = rows.withColumn("_s", F.floor(F.col("_b") / F.lit(span)))
-    sliced.repartition("_s", F.pmod(F.xxhash64("_k", "_t"), F.lit(64))).write.partitionBy("_s").parquet(f"{base}/slices")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sliced.repartition("_s", F.pmod(F.xxhash64("_k", "_t"), F.lit(parts))).write.partitionBy("_s").parquet(f"{base}/slices")
     slices = spark.read.parquet(f"{base}/slices")
     numbers = sorted(r["_s"] for r in slices.select("_s").distinct().collect())
     current = state if state is not None else spark.createDataFrame([], STATE_SCHEMA)

@@ -48,7 +48,8 @@ def digest_groups(jobs: DataFrame, time: str = "created_at", tie: str = "id") ->
     )
     within = Window.partitionBy("source", "_hour").orderBy(time, tie)
     ranked = rows.withColumn("_at", F.row_number().over(within))
-    joined = ranked.join(offsets, ["source", "_hour"]).join(groups, "source")
+    # the small tables meet first; the rows keep the partitioning of their ranks
+    joined = ranked.join(offsets.join(groups, "source"), ["source", "_hour"])
     index = (F.col("_before") + F.col("_at")).alias("index_in_group")
     return joined.select(*jobs.columns, "group_position", "group_size", index)
 

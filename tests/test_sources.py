@@ -84,14 +84,27 @@ def test_html_reader():
     page = html.page_cards("<ul><li>no</li><li><a href='/job/1'>One <b>two</b><br>x</a><p>Pune</p></li></ul><p>un<p>closed", html.PROFILES["generic"])
     assert len(page) == 1 and page[0]["text"] == "One two\nx\nPune" and page[0]["href"] == "/job/1"
     assert html.page_cards("", html.PROFILES["naukri"]) == html.page_cards(None, html.PROFILES["naukri"]) == []
-    tree = html._Tree()
-    tree.feed('<div class="a b" id="m"><span data-x="yes-1"><i>t</i></span></div><span><i>u</i></span>')
-    nodes = list(tree.root.walk())
+    tree = html.parse_html('<div class="a b" id="m"><span data-x="yes-1"><i>t</i></span></div><span><i>u</i></span>')
+    nodes = list(tree.walk())
     for selector, count in (("div.a.b span i", 1), ("div > i", 0), ("span > i", 2), ("#m i, i", 2), ("[data-x*='yes']", 1),
                             ("span[data-x]", 1), ("div:has(i)", 1), ("div.c", 0)):
         assert len(html.select(nodes, selector)) == count, selector
 
 
+def test_html_tree():
+    tree = html.parse_html(
+        "<!DOCTYPE html><!-- <p>no</p> --><P Class=x data-q=\"a>b\" hidden>1 < 2 &amp; 3<br/>x<img src=i.png>y</p></b>"
+        "<script>if (a<b) '</p>'</script ><a href='?a=1&amp;b=2'>z</a><style>p{}"
+    )
+    p, script, a, style = tree.children
+    assert (p.tag, p.attrs) == ("p", {"class": "x", "data-q": "a>b", "hidden": ""})
+    assert [c if isinstance(c, str) else c.tag for c in p.children] == ["1 < 2 & 3", "br", "x", "img", "y"]
+    assert script.children == ["if (a<b) '</p>'"] and a.attrs == {"href": "?a=1&b=2"} and style.children == ["p{}"]
+    assert html._stripped(tree, " ") == "1 < 2 & 3 x y z"
+    assert html._stripped(html.parse_html("<p>" * 5000 + "deep")) == "deep"
+    assert html.parse_html("<div <p>a</div>b <").children[-1].endswith("b <") and html.parse_html("").children == []
+
+
 def test_site_rules(spark):
     def rows(site, body, **rules):
         df = spark.createDataFrame([(1, "https://s.org/list/p", f"<body>{body}</body>")], "page_id long, url string, html string")

@@ -64,8 +64,8 @@ SELECT md5(concat('contact|', CAST(c_custkey AS VARCHAR(20)))) AS id,
             ELSE 'unverified' END AS verified,
        TIMESTAMP '2001-01-01 00:00:00' + INTERVAL '1' MINUTE * CAST(c_custkey AS INT) AS created_at,
        c_custkey AS ck, s_suppkey AS sk
-FROM customer
-JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier)
+FROM (SELECT *, c_custkey % (SELECT count(*) FROM supplier) AS c_suppkey FROM customer) AS buyers
+JOIN supplier ON s_suppkey = c_suppkey
 LEFT JOIN (SELECT sk AS job_sk, min(event_id) AS first_job FROM postings GROUP BY sk) ON job_sk = s_suppkey""",
     "emails": """
 SELECT md5(concat('email|', CAST(o_orderkey AS VARCHAR(20)))) AS id,
@@ -119,8 +119,9 @@ SELECT c_custkey AS seq, concat('s', CAST(s_suppkey AS VARCHAR(20)), '.example.c
                    WHEN 3 THEN 'x9' ELSE 'noreply' END, '@',
               CASE WHEN c_custkey % 19 = 0 THEN 'elsewhere.org'
                    ELSE concat('s', CAST(s_suppkey AS VARCHAR(20)), '.example.com') END) AS email
-FROM customer
-JOIN supplier ON s_suppkey = CAST(floor(c_custkey / 3) AS BIGINT) % (SELECT count(*) FROM supplier)
+FROM (SELECT *, CAST(floor(c_custkey / 3) AS BIGINT) % (SELECT count(*) FROM supplier) AS c_suppkey
+      FROM customer) AS buyers
+JOIN supplier ON s_suppkey = c_suppkey
 WHERE s_suppkey % 6 <> 5""",
     "companies": """
 SELECT s_suppkey AS sk, s_name AS company,

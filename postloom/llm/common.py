@@ -16,6 +16,9 @@ ORACLES: dict[str, str] = {}
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Slim rows that may be broadcast after they have been counted.
+BROADCAST_ROWS = 500_000
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and, where SQL can express it, its DuckDB counterpart."""
@@ -33,15 +36,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark removes the shuffle files of a job when it ends. A written table is computed once, so none is needed again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to a fresh folder under ``spark.checkpoint.dir`` and read it back.
 
     The lineage ends there and lost executors cost no recomputation. The owner of the checkpoint folder
     clears it; nothing is deleted here because the returned frame is lazy.
     """
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, purpose)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a written table of at most ``most`` slim rows; leave larger ones to a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Each row as a struct beside its key (id and hash of the text), safe from any column names."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_text"))
+
+
+def on_key(rows: DataFrame, other: DataFrame) -> Column:
+    return rows["key_id"].eqNullSafe(other["doc_id"]) & (rows["key_text"] == other["text_hash"])
 
 
 def word_count(text: Column) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import materialise, query, table, word_count
+from postloom.llm.common import few, keyed, materialise, on_key, query, table, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -31,8 +31,9 @@ CELLS = 1024
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and shuffle position (bucket, mix) of each document."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+    """doc_id, text_hash, source, size and shuffle position (bucket, mix) of each document."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "source",
+                       word_count(F.col("text")).alias("size"),
                        F.xxhash64(F.lit("mix"), "doc_id").alias("mix")).withColumn(
         "bucket", F.pmod(F.col("mix"), F.lit(BUCKETS)).cast("int"))
 
@@ -124,7 +125,7 @@ def document_spans(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     upto = F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return keyed.withColumn("place", F.row_number().over(inner)).withColumn("_upto", upto).join(
         before, ["sid", "bucket"]).select(
-        "doc_id", "sid", "bucket", "place", "size", (F.col("before") + F.col("_upto") - F.col("size")).alias("start"))
+        "doc_id", "text_hash", "sid", "bucket", "place", "size", (F.col("before") + F.col("_upto") - F.col("size")).alias("start"))
 
 
 def taken_words(spans: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -140,19 +141,31 @@ def taken_words(spans: DataFrame, slots: DataFrame, block_words: int = BLOCK_WOR
     words = F.aggregate("uptos", F.lit(0).cast("long"),
                         lambda acc, upto: acc + F.greatest(F.least(end, upto) - begin, F.lit(0)))
     return pieces.join(per_block, ["sid", "block"], "left").withColumn("words", F.coalesce(words, F.lit(0))).groupBy(
-        "sid", "bucket", "place").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"),
+        "sid", "bucket", "place").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"),
+                                      F.first("size").alias("size"),
                                       F.sum("words").alias("taken"))
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
         most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of each document."""
+    """doc_id, text_hash, source, size, source_size, target and taken of each document."""
     sizes = materialise(sized(docs), "mix-sizes")
     targets = materialise(source_targets(sizes, weights, share, most).coalesce(1), "mix-targets")
     slots = schedule(stream_plan(targets, block_words), block_words)
     spans = materialise(document_spans(sizes, targets), "mix-spans")
     return taken_words(spans, slots, block_words).join(targets, "sid").select(
-        "doc_id", "source", "size", "source_size", "target", "taken")
+        "doc_id", "text_hash", "source", "size", "source_size", "target", "taken")
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them: whole texts, to the nearest number of times.
+
+    Only the last document of a source's target is taken in part. Equal rows share what is taken of them.
+    """
+    times = materialise(mix(docs).filter("size > 0").groupBy("doc_id", "text_hash").agg(
+        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("times")).filter("times > 0"), "mix-times")
+    rows, times = keyed(docs), few(times)
+    return rows.join(times, on_key(rows, times)).select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 @query("op4_mixing")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import materialise, query, table
+from postloom.llm.common import few, keyed, materialise, on_key, query, table
 
 THRESHOLD = 0.7
 HELD_OUT = 2
@@ -38,8 +38,8 @@ STATISTICS = (
     "bracket", "beyond", "distinct", "top_word", "repeat", "line_repeat", "line_words", "pair_repeat", "short_word",
 )
 _NAMES = [f"s_{n}" for n in STATISTICS]
-_SCHEMA = pa.schema([("doc_id", pa.int64()), *((n, pa.float64()) for n in _NAMES)])
-_DDL = ", ".join(["doc_id long", *(f"{n} double" for n in _NAMES)])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((n, pa.float64()) for n in _NAMES)])
+_DDL = ", ".join(["doc_id long", "text_hash long", *(f"{n} double" for n in _NAMES)])
 
 
 def _byte_classes() -> np.ndarray:
@@ -78,12 +78,13 @@ def statistics(text: str | None) -> list[float]:
 def _read_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = np.array([statistics(x.as_py()) for x in batch.column(1)], np.float64).reshape(-1, len(STATISTICS))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.T)], schema=_SCHEMA)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c) for c in rows.T)], schema=_SCHEMA)
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of every whole text, written once."""
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_read_statistics, _DDL), "quality-statistics")
+    return materialise(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        _read_statistics, _DDL), "quality-statistics")
 
 
 def remainder(doc_id: Column) -> Column:
@@ -190,14 +191,15 @@ def fit(statistics_: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def scored(statistics_: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id and score of every document."""
+    """doc_id, text_hash and score of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(_rows(batch, _NAMES)) if model else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(score)],
+                                             names=["doc_id", "text_hash", "score"])
 
-    return statistics_.mapInArrow(run, "doc_id long, score double")
+    return statistics_.mapInArrow(run, "doc_id long, text_hash long, score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,6 +210,18 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are predicted good; without labels nothing is rejected."""
+    stats = document_statistics(docs)
+    model = fit(stats, labels)
+    if model is None:
+        return docs
+    rejected = materialise(scored(stats, model).filter(F.col("score") < THRESHOLD).select(
+        "doc_id", "text_hash").distinct(), "quality-rejected")
+    rows, rejected = keyed(docs), few(rejected)
+    return rows.join(rejected, on_key(rows, rejected), "left_anti").select("row.*")
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""

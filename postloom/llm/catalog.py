@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from postloom.llm import jaccard, mixing, pieces, quality, sharding  # noqa: F401
+from postloom.llm import jaccard, mixing, pieces, quality, sharding, urlgraph, warc  # noqa: F401
 from postloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,7 +6,7 @@ if merging the joined pair gives that pair back, else by minus infinity. (A sequ
 exactly if every neighbouring pair is the encoding of its own text, so the one path above minus infinity is
 the encoding.) The best path is the library's result for either kind of model.
 
-A long text is split into chunks of ``CHUNK`` characters. The state at a boundary is the piece that covers the
+A text of more than ``GIANT`` characters is split into chunks of ``CHUNK``. The state at a boundary is the piece that covers the
 last character before it. Each chunk yields the transfer matrix from its entry to its exit states; matrices
 of a text are multiplied in the max-plus sense, which fixes the state at every boundary; then every chunk
 is traced back on its own. A shorter text is one chunk, whose only entry and exit are the text's ends.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from postloom.llm.common import materialise, query, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 16384
+GIANT, CHUNK = 65536, 16384
 #: Parts and pairs whose solutions a task keeps at a time; rows sent on together.
-KEPT_PARTS, KEPT_PAIRS, ROWS = 300_000, 1_000_000, 512
+KEPT_PARTS, KEPT_PAIRS, ROWS = 400_000, 400_000, 512
 SPACE = "▁"
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -68,7 +69,13 @@ class Pieces:
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p, re.S) for p in plain)
         self.out = [p.piece.replace(SPACE, " ").encode() if p.type in (1, 4) else bytes([int(p.piece[3:5], 16)])
                     if p.type == 6 else " ⁇ ".encode() if p.type == 2 else b"" for p in model.pieces]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # Every prefix of a piece with the longest piece that begins it, and each piece's next shorter one.
+        self.begun = {p[:i]: -1 for p in plain for i in range(1, len(p) + 1)}
+        for p in sorted(self.begun, key=len):
+            self.begun[p] = plain.get(p, self.begun.get(p[:-1], -1))
+        self.shorter = [self.begun.get(p.piece[:-1], -1) if p.piece in plain else -1 for p in model.pieces]
+        self.length = [len(p.piece) if p.piece in plain else 1 for p in model.pieces]
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -92,7 +99,7 @@ class Pieces:
             if after not in self.whole:
                 self.whole[after] = len(self.merged(self.text[after])) == 1
             return self.whole[after]
-        key = before, after
+        key = before << 32 | after
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
@@ -139,10 +146,58 @@ class Pieces:
 
     def part(self, text: str) -> bytes:
         """Ids (int32) of a text whose ends are cuts."""
+        if not self.unigram:
+            return self._only_path(text)
         reached = self.forward(text, 0, None, len(text))
         states = reached[len(text)]
         return np.array(self.trace(text, reached, len(text), max(states, key=lambda s: states[s][0])), np.int32).tobytes()
 
+    def _only_path(self, text: str) -> bytes:
+        """As ``forward`` and ``trace``, for BPE, where one path alone is above minus infinity.
+
+        The longest piece that may follow is tried first. As the pieces before a place are the encoding of the text
+        before it, a place from which no piece leads on is dead for good.
+        """
+        begun, shorter, length, pairs, n = self.begun, self.shorter, self.length, self.pairs, len(text)
+        out: list[int] = []
+        dead: set[int] = set()
+        i, before, piece = 0, None, None
+        while i < n:
+            if piece is None:
+                piece, j = -1, i + 1
+                while j <= n and (found := begun.get(text[i:j])) is not None:
+                    piece = found
+                    j += 1
+                if piece < 0:
+                    piece = self.unknown
+            while piece >= 0:
+                if i + length[piece] not in dead:
+                    good = None if before is None else pairs.get(before << 32 | piece)
+                    if self.follows(before, piece) if good is None else good:
+                        break
+                piece = shorter[piece]
+            if piece >= 0:
+                out.append(piece)
+                before, i, piece = piece, i + length[piece], None
+            else:
+                dead.add(i)
+                piece = out.pop()
+                i -= length[piece]
+                before, piece = out[-1] if out else None, shorter[piece]
+        if self.unknown in out and self.bytes:
+            return self._with_bytes(text, out)
+        return array("i", out).tobytes()
+
+    def _with_bytes(self, text: str, path: list[int]) -> bytes:
+        out, i = array("i"), 0
+        for piece in path:
+            if piece == self.unknown:
+                out.extend(self.bytes[b] for b in text[i].encode("utf-8"))
+            else:
+                out.append(piece)
+            i += self.length[piece]
+        return out.tobytes()
+
 
 class Parts(dict):
     """Solved parts; emptied when full. ``prefix`` comes before each key."""
@@ -293,8 +348,8 @@ def _encoder(data: bytes) -> Encoder:
     return Encoder(data)
 
 
-_SHORT = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("text_crc32", pa.int64()), ("n_chunks", pa.int32())])
-_ENCODED = "doc_id long, token_ids array<int>, text_crc32 long, n_chunks int"
+_SHORT = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("n_chunks", pa.int32()), ("round_trip", pa.bool_())])
+_ENCODED = "doc_id long, token_ids array<int>, n_chunks int, round_trip boolean"
 
 
 def _crc(text: str | None) -> int:
@@ -306,16 +361,25 @@ def _lists(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def _encode_short(data: bytes):
+def _rows(lists: pa.ListArray) -> Iterator[list[int]]:
+    """The rows of a list column, without a Python object per value on the way."""
+    values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        yield values[a:b].tolist()
+
+
+def _encode_short(data: bytes, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 texts = batch.column(1).to_pylist()
+                ids = [encoder.encode(t) for t in texts]
+                back = [encoder.decode(np.frombuffer(x, np.int32).tolist()) == (t or "").replace(SPACE, " ")
+                        for x, t in zip(ids, texts, strict=True)] if check else [None] * len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), _lists([encoder.encode(t) for t in texts]), pa.array(map(_crc, texts), pa.int64()),
-                     pa.array([1] * len(texts), pa.int32())], schema=_SHORT)
+                    [batch.column(0), _lists(ids), pa.array([1] * len(ids), pa.int32()), pa.array(back, pa.bool_())], schema=_SHORT)
 
     return run
 
@@ -408,16 +472,17 @@ def _trace(data: bytes, chunk: int, edge: int):
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, token_ids, text_crc32 (of the text, for checking a round trip) and n_chunks of each document.
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int = GIANT, check: bool = False) -> DataFrame:
+    """doc_id, token_ids, n_chunks and round_trip of each document.
 
+    With ``check`` every row is decoded again, and round_trip tells whether its text came back; else it is null.
     The model is read on the driver and sent with the tasks; its size does not depend on the data.
     """
     data = Path(model).read_bytes()
     edge = 2 * Pieces(data).longest
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    long = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    short = texts.filter(~long).mapInArrow(_encode_short(data), _ENCODED)
+    long = F.coalesce(F.length("text"), F.lit(0)) > giant
+    short = texts.filter(~long).mapInArrow(_encode_short(data, check), _ENCODED)
     chunks = _chunk_rows(texts.filter(long), chunk, edge)
     matrices = chunks.select("key", "k", "n_chunks", "piece").mapInArrow(
         _transfer(data, chunk, edge), "key long, k int, matrix binary")
@@ -426,42 +491,42 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
         _trace(data, chunk, edge), "key long, doc_id long, k int, n_chunks int, text_crc32 long, ids array<int>")
     whole = traced.groupBy("key").agg(
         F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"),
-        F.max("text_crc32").alias("text_crc32"), F.max("n_chunks").alias("n_chunks"))
-    return short.unionByName(whole.select("doc_id", F.flatten("parts.ids").alias("token_ids"), "text_crc32", "n_chunks"))
-
+        F.max("text_crc32").alias("text_crc32"), F.max("n_chunks").alias("n_chunks")).select(
+        "doc_id", F.flatten("parts.ids").alias("token_ids"), "n_chunks", "text_crc32")
+    done = whole.mapInArrow(_check_giant(data), _ENCODED) if check else whole.select(
+        "doc_id", "token_ids", "n_chunks", F.lit(None).cast("boolean").alias("round_trip"))
+    return short.unionByName(done)
 
-def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id and text of each row of token_ids."""
-    data = Path(model).read_bytes()
 
+def _check_giant(data: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data)
         for batch in batches:
-            texts = [encoder.decode(x.as_py() or []) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+            back = [_crc(encoder.decode(x)) == crc for x, crc in zip(_rows(batch.column(1)), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(back, pa.bool_())], schema=_SHORT)
 
-
-_CHECKED = pa.schema([*_SHORT, ("decoded_crc32", pa.int64())])
+    return run
 
 
-def with_round_trip(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """Decode every row again and add round_trip: whether the text came back."""
+def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id and text of each row of token_ids."""
     data = Path(model).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data)
         for batch in batches:
-            crcs = [zlib.crc32(encoder.decode(x.as_py() or []).encode("utf-8")) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crcs, pa.int64())], schema=_CHECKED)
+            texts = [encoder.decode(x) for x in _rows(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+
 
-    return encoded.mapInArrow(run, f"{_ENCODED}, decoded_crc32 long").select(
-        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "n_chunks",
-        (F.col("decoded_crc32") == F.col("text_crc32")).alias("round_trip"))
+def counted(encoded: DataFrame) -> DataFrame:
+    """The rows of ``encode`` with n_tokens."""
+    return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "n_chunks", "round_trip")
 
 
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, and decoded again as a check."""
-    return with_round_trip(encode(table(spark, sf_dir, "documents")))
+    return counted(encode(table(spark, sf_dir, "documents"), check=True))

@@ -12,6 +12,8 @@ empty table gives no rows; other columns are ignored. A score outside 64 bits ra
 
 from __future__ import annotations
 
+from operator import mul
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ def _product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     width = max(1, left.shape[1])
     if np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * width < 2.0**53:
         return (left @ right.T).astype(np.int64)
-    whole = left.astype(object).dot(right.astype(object).T) if left.shape[1] else np.zeros((len(left), len(right)), object)
-    whole = np.array([[int(x) for x in r] for r in whole], object).reshape(len(left), len(right))
+    one, two = ([[int(x) for x in r] for r in rows.tolist()] for rows in (left, right))
+    whole = np.array([[sum(map(mul, p, q)) for q in two] for p in one], object).reshape(len(left), len(right))
     if any(abs(x) >= 2**63 for r in whole for x in r):
         raise OverflowError("a score does not fit 64 bits")
     return whole.astype(np.int64)

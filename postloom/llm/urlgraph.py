@@ -55,9 +55,9 @@ def ruled_pages(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
 
 def host_edges(pages: DataFrame, parent_weight: float = PARENT_WEIGHT) -> DataFrame:
     """(src, dst, weight): links between different hosts, counted before the shuffle, and parent domains."""
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("dst")).select(
+    links = materialise(pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("dst")).select(
         "src", F.translate("dst", _UPPER, _LOWER).alias("dst")).filter("src <> dst AND src <> ''").groupBy("src", "dst").agg(
-        F.count(F.lit(1)).cast("double").alias("weight"))
+        F.count(F.lit(1)).cast("double").alias("weight")), "url-links")
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct().unionByName(links.select(F.col("dst").alias("host")).distinct()).distinct()
     parent = F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1)
     up = hosts.select(F.col("host").alias("src"), parent.alias("dst"), F.lit(parent_weight).alias("weight")).filter("dst <> ''")

@@ -4,8 +4,8 @@
 2. A set can only link if three quarters of its tokens occur in other sets. This is bounded first on the
    tokens of the lowest codes (cheap, no second reading of text), then on all tokens of the sets left.
 3. The sets left are sorted by their lowest codes and cut into groups of similar sets. The matrix holds, by
-   token, the groups and sets with that token in their prefix (rarest first). A set opens a group when it
-   shares a prefix token with a member, as every linked pair must.
+   token, the sets with that token in their head (the rarest three quarters) and their groups. It tells how many head
+   tokens of a set the union of a group has; a set opens a group only if these reach the bound for any link.
 4. An opened group bounds the overlap of the query with the union of its members' tokens and compares
    members only if the bound reaches the threshold. Links leave as a spanning forest and as counts.
 5. Components of classes come from stars over the links.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import materialise, query, table
+from postloom.llm.common import few, keyed, materialise, on_key, query, table
 from postloom.llm.components import components
 from postloom.llm.shingles import WordCodes, shingle_set
 
@@ -39,17 +39,18 @@ PERCENT = 75
 LOW_PART = 0.35
 #: Tokens of one range of the code space, members and tokens of one group, tokens of a group's queries in a task.
 RANGE_TOKENS = 1_000_000
-GROUP_SETS, GROUP_TOKENS = 1024, 500_000
-QUERY_TOKENS = 1_000_000
+GROUP_SETS, GROUP_TOKENS = 2048, 1_000_000
+QUERY_TOKENS = 4_000_000
 #: Tokens in more sets than this are ordered last; at most FREQUENT_MOST tokens are (the rate rises with the data).
 FREQUENT, FREQUENT_MOST = 256, 500_000
-#: Rows of (class, flag) that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("low", pa.binary())])
+_SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()),
+                   ("cls", pa.int64()), ("low", pa.binary())])
 _FULL = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
-_CHUNK = pa.schema([("part", pa.int64()), ("tokens", pa.binary()), ("sets", pa.binary()), ("times", pa.binary())])
+_CHUNK = pa.schema([("part", pa.int64()), ("tokens", pa.binary()), ("sets", pa.binary()), ("at", pa.binary()), ("times", pa.binary())])
 _COUNT = pa.schema([("cls", pa.int64()), ("shared", pa.int64())])
+#: Bytes of a low token: its lowest 16 bits are left out, which can only make a set look more linkable.
+LOW_BYTES = 6
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -62,25 +63,43 @@ def least_shared(n: int | np.ndarray) -> int | np.ndarray:
     return -(-PERCENT * n // 100)
 
 
+def least_hits(n: int) -> int:
+    """Head tokens that a set of ``n`` has in common at least with the head of any set it links with.
+
+    The head is the first ``n - least_shared(n) + h`` tokens in the common order, with ``h`` half of ``n``. Of the tokens two linked
+    sets share, at most ``least_shared - h`` lie behind the head that ends first, so it holds ``h`` of them, and so does the other.
+    The ``h`` that counts is that of the smaller set, of at least ``least_shared(n)`` tokens.
+    """
+    return max(1, int(least_shared(n)) // 2)
+
+
 def _u64(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
+def _low(data: bytes) -> np.ndarray:
+    whole = np.zeros((len(data) // LOW_BYTES, 8), np.uint8)
+    whole[:, 8 - LOW_BYTES:] = np.frombuffer(data, np.uint8).reshape(-1, LOW_BYTES)
+    return whole.reshape(-1).view(np.uint64)
+
+
 def _read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, top = WordCodes(), np.uint64(LOW_PART * 2**64)
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for uid, doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
             tokens = shingle_set(text.as_py(), codes)
             cls = xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
-            rows.append((doc_id, len(tokens), cls, tokens[:np.searchsorted(tokens, top)].tobytes()))
+            low = tokens[:np.searchsorted(tokens, top)].view(np.uint8).reshape(-1, 8)[:, 8 - LOW_BYTES:]
+            rows.append((uid, doc_id, key, len(tokens), cls, low.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SETS, strict=True)]
                                          if rows else [pa.array([], f.type) for f in _SETS], schema=_SETS)
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, class of equal sets and the tokens of the lowest codes, written once."""
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_read_sets, _ddl(_SETS)), "jaccard-sets")
+    """uid, doc_id, text_hash, n, class of equal sets and the tokens of the lowest codes, written once."""
+    rows = docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.xxhash64("text"), "text")
+    return materialise(rows.mapInArrow(_read_sets, _ddl(_SETS)), "jaccard-sets")
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,28 +111,39 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([x.tobytes() for x in tokens], pa.binary())], schema=_FULL)
 
 
-def _spread(ranges: int, counters: int):
+def _place(tokens: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of each token and, below it, 32 other bits of its code.
+
+    Tokens of a range that agree in these count as one; as ranges grow with the tokens, few do at any size.
+    """
+    part = (tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    return part << np.uint64(32) | tokens >> np.uint64(16) & np.uint64(0xFFFFFFFF)
+
+
+def _spread(ranges: int, counters: int, read):
     """Rows (cls, tokens) to rows by range of tokens; tokens repeated in a batch go once, with their times.
 
     Sets that hold a token repeated in their batch are credited at once, in rows of part -1 - counter.
     """
 
     def emit(cls: list[int], tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
-        arrays = [_u64(x) for x in tokens]
-        flat = np.concatenate(arrays)
-        owner = np.repeat(np.array(cls, np.int64), [len(x) for x in arrays])
+        arrays = [read(x) for x in tokens]
+        flat = _place(np.concatenate(arrays), ranges)
+        owner = np.repeat(np.arange(len(cls), dtype=np.uint16), [len(x) for x in arrays])
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
         times = np.diff(np.r_[first, len(flat)])
-        shared = np.repeat(times > 1, times)
-        part, rows = (flat[first] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), []
-        starts = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-        seen = np.minimum(times, 2**16 - 1).astype(np.uint16)
+        names = np.array(cls, np.int64)
+        rows = []
+        starts = np.searchsorted(flat[first], np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32))
+        seen = np.minimum(times, 255).astype(np.uint8)
         for p in np.flatnonzero(np.diff(starts)):
             at = slice(starts[p], starts[p + 1])
-            rows.append((int(p), flat[first[at]].tobytes(), owner[first[at]].tobytes(), seen[at].tobytes()))
-        yield from _chunks(rows + _credits(owner[shared], counters))
+            held, place = np.unique(owner[first[at]], return_inverse=True)
+            rows.append((int(p), flat[first[at]].astype(np.uint32).tobytes(), names[held].tobytes(),
+                         place.astype(np.uint16).tobytes(), seen[at].tobytes()))
+        yield from _chunks(rows + _credits(names[owner[np.repeat(times > 1, times)]], counters), _CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, tokens, size = [], [], 0
@@ -123,7 +153,7 @@ def _spread(ranges: int, counters: int):
                     cls.append(c)
                     tokens.append(t)
                     size += len(t)
-                if size > 16_000_000:
+                if size > 16_000_000 or len(cls) == 2**16:
                     yield from emit(cls, tokens)
                     cls, tokens, size = [], [], 0
         if size:
@@ -139,14 +169,14 @@ def _credits(owner: np.ndarray, counters: int) -> list[tuple]:
     order = np.argsort(counter, kind="stable")
     sets, times, counter = sets[order], times[order], counter[order]
     starts = np.searchsorted(counter, np.arange(counters + 1))
-    return [(-1 - int(c), b"", sets[starts[c]:starts[c + 1]].tobytes(), times[starts[c]:starts[c + 1]].tobytes())
+    return [(-1 - int(c), b"", sets[starts[c]:starts[c + 1]].tobytes(), b"", times[starts[c]:starts[c + 1]].tobytes())
             for c in np.flatnonzero(np.diff(starts))]
 
 
-def _chunks(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _chunks(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(rows), 64):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, f.type) for x, f in zip(zip(*rows[at:at + 64], strict=True), _CHUNK, strict=True)], schema=_CHUNK)
+            [pa.array(x, f.type) for x, f in zip(zip(*rows[at:at + 64], strict=True), schema, strict=True)], schema=schema)
 
 
 def _gather(counters: int, frequent: int):
@@ -156,38 +186,42 @@ def _gather(counters: int, frequent: int):
         rows = list(zip(*(c.to_pylist() for c in group.columns), strict=True))
         if rows[0][0] < 0:
             return group
-        flat = np.concatenate([_u64(r[1]) for r in rows])
-        owner = np.concatenate([np.frombuffer(r[2], np.int64) for r in rows])
-        times = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows]).astype(np.int64)
+        flat = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
+        owner = np.concatenate([np.frombuffer(r[2], np.int64)[np.frombuffer(r[3], np.uint16)] for r in rows])
+        times = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows]).astype(np.int64)
         order = np.argsort(flat, kind="stable")
         flat, owner, times = flat[order], owner[order], times[order]
         first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
         batches = np.diff(np.r_[first, len(flat)])
         newly = np.repeat(batches > 1, batches) & (times == 1)
-        often = flat[first[np.add.reduceat(times, first) > frequent]] if len(flat) else flat
-        out = _credits(owner[newly], counters) + ([(0, often.tobytes(), b"", b"")] if len(often) else [])
-        return pa.Table.from_batches(list(_chunks(out)), schema=_CHUNK)
+        often = flat[first[np.add.reduceat(times, first) > frequent]] | np.uint64(rows[0][0]) << np.uint64(32)
+        out = _credits(owner[newly], counters) + ([(0, often.tobytes(), b"", b"", b"")] if len(often) else [])
+        return pa.Table.from_batches(list(_chunks(out, _CHUNK)), schema=_CHUNK)
 
     return run
 
 
 def _sum_credits(group: pa.Table) -> pa.Table:
     sets = np.concatenate([np.frombuffer(x, np.int64) for x in group.column(2).to_pylist()])
-    times = np.concatenate([np.frombuffer(x, np.int64) for x in group.column(3).to_pylist()])
+    times = np.concatenate([np.frombuffer(x, np.int64) for x in group.column(4).to_pylist()])
     cls, at = np.unique(sets, return_inverse=True)
     return pa.table([pa.array(cls), pa.array(np.bincount(at, times, len(cls)).astype(np.int64))], schema=_COUNT)
 
 
-def shared_counts(sets: DataFrame, tokens: str, frequent: int, purpose: str) -> tuple[DataFrame, DataFrame]:
-    """(cls, shared): tokens of each set that another set has too; (part, tokens): those of many sets."""
-    total = sets.agg(F.coalesce(F.sum(F.octet_length(tokens)), F.lit(0)).alias("b")).first()["b"] // 8
+def shared_counts(sets: DataFrame, total: int, read, purpose: str) -> tuple[DataFrame, np.ndarray, int]:
+    """(cls, shared): tokens of each set that another set has too; the places of frequent tokens; the ranges.
+
+    ``sets`` has rows (cls, tokens), read by ``read``; ``total`` is how many tokens they hold at most. As many
+    places are frequent as the rate allows, at most FREQUENT_MOST.
+    """
     ranges = max(8, -(-total // RANGE_TOKENS))
     counters = max(4, ranges // 4)
-    spread = sets.select("cls", tokens).mapInArrow(_spread(ranges, counters), _ddl(_CHUNK))
-    gathered = materialise(spread.groupBy("part").applyInArrow(_gather(counters, max(frequent, total // FREQUENT_MOST)),
-                                                               _ddl(_CHUNK)), purpose)
+    gather = _gather(counters, max(FREQUENT, total // FREQUENT_MOST))
+    spread = sets.mapInArrow(_spread(ranges, counters, read), _ddl(_CHUNK))
+    gathered = materialise(spread.groupBy("part").applyInArrow(gather, _ddl(_CHUNK)), purpose)
     counted = gathered.filter("part < 0").groupBy("part").applyInArrow(_sum_credits, _ddl(_COUNT))
-    return counted, gathered.filter("part = 0").select("tokens")
+    found = [_u64(r["tokens"]) for r in gathered.filter("part = 0").select("tokens").collect()]
+    return counted, np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64), ranges
 
 
 def _linkable(sets: DataFrame, counted: DataFrame, known: str) -> DataFrame:
@@ -196,17 +230,6 @@ def _linkable(sets: DataFrame, counted: DataFrame, known: str) -> DataFrame:
         F.expr(f"100 * (n - {known} + coalesce(shared, 0)) >= {PERCENT} * n")).drop("shared")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast a written table if it is small; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _frequent_tokens(rows: DataFrame) -> np.ndarray:
-    """At most FREQUENT_MOST tokens, by the rate at which they count as frequent."""
-    found = [_u64(r["tokens"]) for r in rows.collect()]
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-
-
 _GROUPED = "grp long, cls long, n long, tokens binary"
 
 
@@ -227,69 +250,116 @@ def _cut_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_groups(core: DataFrame) -> DataFrame:
     """(grp, cls, n, tokens): sets ordered by their lowest codes (similar sets mostly share these), then cut."""
     order = [F.substring("tokens", 1, 8), F.substring("tokens", 9, 8), F.col("cls")]
-    parts = max(1, -(-core.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"] // (4 * GROUP_TOKENS)))
+    parts = max(1, -(-core.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"] // (2 * GROUP_TOKENS)))
     ranged = core.select("cls", "n", "tokens").repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
     return materialise(ranged.mapInArrow(_cut_groups, _GROUPED), "jaccard-groups")
 
 
-def _matrix_rows(ranges: int, often: np.ndarray):
-    """Prefix tokens of each set, rarest first, by range of tokens: token, set and group."""
+def _matrix_rows(ranges: int, often: np.ndarray, places: int):
+    """Head tokens of each set, rarest first, by range of tokens, with the set, its group and its least hits."""
 
-    def emit(flat: list, sets: list, groups: list) -> Iterator[pa.RecordBatch]:
-        tokens, sets, groups = map(np.concatenate, (flat, sets, groups))
-        part = ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        tokens, sets, groups, part = tokens[order], sets[order], groups[order], part[order]
-        starts = np.searchsorted(part, np.arange(ranges + 1))
-        yield from _chunks([(int(p), *(x[starts[p]:starts[p + 1]].tobytes() for x in (tokens, sets, groups)))
-                            for p in np.flatnonzero(np.diff(starts))])
+    def emit(flat: list, sets: list, groups: list, hits: list) -> Iterator[pa.RecordBatch]:
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in flat])
+        place = _place(np.concatenate(flat), ranges)
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+        starts = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32))
+        names, homes, least = (np.array(x, np.int64) for x in (sets, groups, hits))
+        rows = []
+        for p in np.flatnonzero(np.diff(starts)):
+            held, at = np.unique(owner[starts[p]:starts[p + 1]], return_inverse=True)
+            rows.append((int(p), place[starts[p]:starts[p + 1]].astype(np.uint32).tobytes(), names[held].tobytes(),
+                         at.astype(np.uint16).tobytes(), np.concatenate([homes[held], least[held]]).tobytes()))
+        yield from _chunks(rows, _CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], []]
+        held: tuple[list, ...] = ([], [], [], [])
         size = 0
         for batch in batches:
             for grp, cls, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = _u64(data)
                 if len(often):
-                    late = np.isin(tokens, often, assume_unique=True)
+                    late = np.isin(_place(tokens, places), often)
                     tokens = np.r_[tokens[~late], tokens[late]]
-                take = n - least_shared(n) + 1
-                for x, y in zip(held, (tokens[:take], np.full(take, cls), np.full(take, grp)), strict=True):
+                for x, y in zip(held, (tokens[:n - least_shared(n) + max(1, n // 2)], cls, grp, least_hits(n)), strict=True):
                     x.append(y)
-                size += take
-                if size > 1_000_000:
+                size += n
+                if size > 2_000_000 or len(held[1]) == 2**16:
                     yield from emit(*held)
-                    held, size = [[], [], []], 0
+                    held, size = ([], [], [], []), 0
         if size:
             yield from emit(*held)
 
     return run
 
 
+_PAIR = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("from_one", pa.binary()), ("from_two", pa.binary())])
 _OPEN = pa.schema([("cls", pa.int64()), ("grp", pa.int64())])
 
 
-def _openings(group: pa.Table) -> pa.Table:
-    """Which sets open which groups, from the tokens of one range; a pair of groups opens one way."""
+def _meetings(group: pa.Table) -> pa.Table:
+    """How many tokens of this range each set has in common with each group, by pair of groups.
+
+    A side of a pair is rows of (set, hits, least hits); a group with itself has one side.
+    """
     cols = [c.to_pylist() for c in group.columns]
-    tokens = np.concatenate([_u64(x) for x in cols[1]])
-    sets, groups = (np.concatenate([np.frombuffer(x, np.int64) for x in c]) for c in cols[2:])
-    order = np.lexsort((groups, tokens))
-    tokens, sets, groups = tokens[order], sets[order], groups[order]
-    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    ends = np.r_[starts[1:], len(tokens)]
-    found: list[np.ndarray] = []
-    two = starts[ends - starts == 2]
-    found.append(np.stack([sets[two], groups[two + 1]], 1))
-    for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-        g, size = np.unique(groups[s:e], return_counts=True)
-        last = np.searchsorted(g, groups[s:e])  # groups are sorted: a set opens its own group and later ones
-        keep = [np.stack([sets[s:e][last <= k], np.full((last <= k).sum(), g[k])], 1) for k in range(len(g))]
-        found.append(np.concatenate(keep))
-        if len(found) > 4096:
-            found = [np.unique(np.concatenate(found), axis=0)]
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_OPEN)
+    tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in cols[1]])
+    raw = np.concatenate([np.frombuffer(x, np.int64) for x in cols[2]])
+    info = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in cols[4]], axis=1)
+    names, first, place = np.unique(raw, return_index=True, return_inverse=True)
+    shift = np.cumsum([0, *(len(x) // 8 for x in cols[2])])
+    sets = place[np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + k for x, k in zip(cols[3], shift[:-1], strict=True)])]
+    groups, home = np.unique(info[0][first], return_inverse=True)
+    least, wide = info[1][first], len(groups)
+    order = np.argsort(tokens, kind="stable")
+    tokens, sets = tokens[order], sets[order]
+    cut = np.r_[True, tokens[1:] != tokens[:-1]]
+    often = np.diff(np.r_[np.flatnonzero(cut), len(tokens)])
+    token = np.cumsum(cut) - 1
+    kept = often[token] > 1
+    token, sets = token[kept], sets[kept]
+    held, members = np.unique(token * wide + home[sets], return_counts=True)
+    holder, owner = held // wide, held % wide
+    start = np.searchsorted(holder, np.arange(len(often) + 1))
+    many = (start[1:] - start[:-1])[token]
+    found = []
+    bounds = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + 1, 4_000_000)) if len(many) else []
+    for s, e in zip(bounds, [*bounds[1:], len(many)], strict=True):
+        rep = many[s:e]
+        at = np.repeat(start[token[s:e]] - np.r_[0, np.cumsum(rep)[:-1]], rep) + np.arange(rep.sum())
+        x = np.repeat(sets[s:e], rep)
+        met = (owner[at] != home[x]) | (members[at] > 1)  # a set alone in its group does not meet itself
+        found.append(np.unique(x[met] * wide + owner[at][met], return_counts=True))
+    if not found:
+        return pa.table([pa.array([], f.type) for f in _PAIR], schema=_PAIR)
+    keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    hits = np.bincount(back, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+    x, other = keys // wide, keys % wide
+    one, two = np.minimum(home[x], other), np.maximum(home[x], other)
+    order = np.lexsort((two, one))
+    x, hits, one, two = x[order], hits[order], one[order], two[order]
+    cuts = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.empty(0, int)
+    rows = []
+    for s, e in zip(cuts, [*cuts[1:], len(one)], strict=True) if len(one) else ():
+        side = np.stack([names[x[s:e]], hits[s:e], least[x[s:e]]], axis=1)
+        left = home[x[s:e]] == one[s]
+        rows.append((int(groups[one[s]]), int(groups[two[s]]), side[left].tobytes(), side[~left].tobytes()))
+    return pa.Table.from_batches(list(_chunks(rows, _PAIR)), schema=_PAIR)
+
+
+def _openings(group: pa.Table) -> pa.Table:
+    """Sets that open a group: those whose hits over all ranges reach their least, of the side with fewer such.
+
+    Of two linked sets each reaches its least with the other's group, so either side meets all links.
+    """
+    one, two = group.column(0)[0].as_py(), group.column(1)[0].as_py()
+    sides = []
+    for c in (2, 3):
+        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in group.column(c).to_pylist()])
+        names, first, back = np.unique(rows[:, 0], return_index=True, return_inverse=True)
+        sides.append(names[np.bincount(back, rows[:, 1], len(names)) >= rows[first, 2]])
+    sets, opened = (sides[0], two) if one == two or len(sides[0]) <= len(sides[1]) else (sides[1], one)
+    return pa.table([pa.array(sets), pa.array(np.full(len(sets), opened))], schema=_OPEN)
 
 
 _LINK = pa.schema([("kind", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -337,7 +407,7 @@ def _open_group(members: pa.Table, queries: pa.Table) -> pa.Table:
     linked, counts = np.zeros(len(names), np.int64), {}
     q = queries.to_pydict()
     for cls, n, own, held, data in zip(q["cls"], q["n"], q["home"], q["copies"], q["tokens"], strict=True):
-        tokens = _u64(data)
+        tokens = _u64(data) if data is not None else arrays[place[cls]]
         at = np.searchsorted(union, tokens)
         at = at[at < len(union)]
         hit = at[union[at] == tokens[:len(at)]]
@@ -360,12 +430,18 @@ def _open_group(members: pa.Table, queries: pa.Table) -> pa.Table:
 
 
 def group_links(groups: DataFrame, openings: DataFrame, copies: DataFrame) -> DataFrame:
-    """Open every group for its queries; queries of a group are split so that a task holds few tokens."""
-    held = groups.join(copies, "cls")
-    queries = openings.join(held.select("cls", "n", F.col("grp").alias("home"), "copies", "tokens"), "cls")
-    loads = openings.join(groups.select("cls", "n"), "cls").groupBy("grp").agg(
-        F.ceil(F.sum("n") / QUERY_TOKENS).alias("parts"))
-    split = queries.join(loads, "grp").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts"))).drop("parts")
+    """Open every group for its queries; queries of a group are split so that a task holds few tokens.
+
+    A query of its own group brings no tokens along: the members' are there.
+    """
+    loads = few(materialise(openings.join(groups.select("cls", "n"), "cls").groupBy("grp").agg(
+        F.ceil(F.sum("n") / QUERY_TOKENS).alias("parts")), "jaccard-loads"))
+    held = groups.join(few(copies), "cls")
+    asking = few(materialise(openings.join(loads, "grp").select(
+        "cls", F.col("grp").alias("opened"), F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part")), "jaccard-asking"))
+    split = held.join(asking, "cls").select(
+        "cls", "n", F.col("grp").alias("home"), F.col("opened").alias("grp"), "part", "copies",
+        F.when(F.col("grp") != F.col("opened"), F.col("tokens")).alias("tokens"))
     members = held.join(loads, "grp").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     own, asked = ([F.col(c).alias(c) for c in ("grp", "part", "cls", "n", "copies", "tokens", *more)]  # fresh columns for both sides
                   for more in ((), ("home",)))
@@ -373,28 +449,32 @@ def group_links(groups: DataFrame, openings: DataFrame, copies: DataFrame) -> Da
         _open_group, _ddl(_LINK))
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (documents linked with it) of every document."""
+def memberships(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n, component (its name; null without shingles), component_id and n_links of every document."""
     sets = document_sets(docs)
     filled = sets.filter("n > 0")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     classes = materialise(filled.groupBy("cls").agg(
-        F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min_by("n", "doc_id").alias("n"),
-        F.first("n").alias("any_n")).select("cls", "least_id", "copies", F.coalesce("n", "any_n").alias("n")), "jaccard-classes")
-    carriers = filled.join(classes.select("cls", "least_id"), ["cls"]).filter("doc_id <=> least_id").dropDuplicates(["cls"])
-    low = materialise(carriers.select("cls", "n", "low", "doc_id"), "jaccard-low")
-    counted, _ = shared_counts(low, "low", FREQUENT, "jaccard-low-shared")
-    able = materialise(_linkable(low.withColumn("k", F.expr("octet_length(low) div 8")), counted, "k").select(
-        "cls", F.col("doc_id").alias("carrier")), "jaccard-able")
-    ids = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    full = materialise(ids.join(_few(able), F.col("_id").eqNullSafe(F.col("carrier"))).select("cls", "text").mapInArrow(
-        _full_sets, _ddl(_FULL)), "jaccard-full")
-    counted, often = shared_counts(full, "tokens", FREQUENT, "jaccard-full-shared")
+        F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min_by("uid", first).alias("uid")), "jaccard-classes")
+    carriers = filled.join(few(classes.select("uid")), "uid")
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("low")), F.lit(0)).alias("b")).first()["b"] // LOW_BYTES
+    counted, _, _ = shared_counts(carriers.select("cls", "low"), total, _low, "jaccard-low-shared")
+    sized = carriers.select("cls", "doc_id", "text_hash", "n", F.expr(f"octet_length(low) div {LOW_BYTES}").alias("k"))
+    able = few(materialise(_linkable(sized, counted, "k").drop("k"), "jaccard-able"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_text"), "text")
+    found = rows.join(able, on_key(rows, able)).select("cls", "text").mapInArrow(_full_sets, _ddl(_FULL))
+    repeats = sets.join(able.select("doc_id", "text_hash"), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").count()
+    if not repeats.filter("count > 1").isEmpty() or not able.filter("doc_id IS NULL").isEmpty():
+        found = found.dropDuplicates(["cls"])
+    full = materialise(found, "jaccard-full")
+    total = full.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    counted, often, places = shared_counts(full.select("cls", "tokens"), total, _u64, "jaccard-full-shared")
     groups = token_groups(_linkable(full, counted, "n"))
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     ranges = max(8, -(-total // (2 * RANGE_TOKENS)))
-    openings = groups.mapInArrow(_matrix_rows(ranges, _frequent_tokens(often)), _ddl(_CHUNK)).groupBy("part").applyInArrow(
-        _openings, _ddl(_OPEN))
-    opened = materialise(openings.distinct(), "jaccard-openings")
+    openings = groups.mapInArrow(_matrix_rows(ranges, often, places), _ddl(_CHUNK)).groupBy("part").applyInArrow(
+        _meetings, _ddl(_PAIR)).groupBy("one", "two").applyInArrow(_openings, _ddl(_OPEN))
+    opened = materialise(openings, "jaccard-openings")
     links = materialise(group_links(groups, opened, classes.select("cls", "copies")), "jaccard-links")
     reached = components(links.filter("kind = 0").select("a", "b"))
     counts = links.filter("kind = 1").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("links"))
@@ -402,14 +482,34 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         "cls", "least_id", "copies", F.coalesce("component", "cls").alias("component"), "links"), "jaccard-named")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     final = named.join(least, "component").select(
-        "cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(
-        final, "cls", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "cls", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return sets.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(
+        final, "cls", "left").drop("cls")
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (documents linked with it) of every document."""
+    return memberships(docs).select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``: of each component that with the smallest id; all rows without shingles."""
+    found = materialise(memberships(docs).filter("n > 0").select("doc_id", "text_hash", "component"), "jaccard-members")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(order).alias("first"))
+    per_key = found.groupBy("doc_id", "text_hash", "component").agg(F.count(F.lit(1)).alias("rows")).join(first, "component")
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
+    other = materialise(per_key.select("doc_id", "text_hash", stays.alias("stays"), "rows").filter("NOT stays OR rows > 1"),
+                        "jaccard-dropped")
+    rows, gone, again = keyed(docs), few(other), few(other.filter("stays"))
+    single = rows.join(gone, on_key(rows, gone), "left_anti")
+    once = rows.join(again, on_key(rows, again), "left_semi").dropDuplicates(["key_id", "key_text"])
+    return single.unionByName(once).select("row.*")
+
+
 @query("op9_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under shingle Jaccard of at least 0.75."""

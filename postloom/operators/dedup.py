@@ -5,13 +5,22 @@ at or after the end of the last window; up to ``limit`` events are admitted per
 rejected event never extends it. ``limit=1`` with seven days is the posting de-duplication,
 ``limit=3`` with one hour is the probe rate limit.
 
-A chain is sequential within a key, so it is planned by key size:
-
-* keys with few rows: one shuffle of (key, instant, id) and a fold over a bounded sorted array;
-* hot keys (counted first, map-side): time slices, each small enough to fold, one round per
-  slice with the window state carried in a table; where even one slice of the length of the
-  time to live is too large, the round uses top-``limit`` windows that Spark prunes map-side.
-  No task ever holds more than ``max_rows_per_key`` rows of a key, and no row is dropped.
+A row without an instant has no place in a chain: it is never admitted, and ``undated`` returns such
+rows. A NULL key is a key like any other. Both hold for every plan and for the streams.
+
+A chain is sequential within a key. The plan depends on the size of a key, the result does not:
+
+* keys with few rows (``FOLD_ROWS``): one shuffle of (key, instant, id) and a fold over a short array;
+* keys up to ``max_rows_per_key``: a linear scan of the sorted instants of one key in one task;
+* hot keys (counted first, map-side): a row at least the time to live after its predecessor always
+  opens a window, so the key is cut at such gaps, found from the first and last instant per stretch of
+  the length of the time to live. Short pieces are scanned like keys. Long pieces go through time slices,
+  one round per slice of the longest piece, with the window state carried in a table; where even one
+  slice of the length of the time to live is too large, the round uses top-``limit`` windows that
+  Spark prunes map-side.
+
+No task ever holds more than ``max_rows_per_key`` rows of a key, and no row is dropped. The input is
+written once under ``spark.checkpoint.dir`` and read from there; the owner of that folder clears it.
 """
 
 from __future__ import annotations
@@ -19,6 +28,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +40,7 @@ from postloom.session import shared_dir
 
 MAX_ROWS_PER_KEY = 200_000
 MAX_BROADCAST_KEYS = 50_000
+FOLD_ROWS = 500
 _LEVELS = 16
 STATE_SCHEMA = "_k string, _start long, _n int"
 
@@ -66,12 +78,14 @@ def unique_url(incoming: DataFrame, target: DataFrame | None, order: Sequence[Co
 # -- admission with a time to live --------------------------------------------------------
 
 
-def _slim(df: DataFrame, key: Column, ts: Column, event_id: Column) -> DataFrame:
-    return df.select(
-        key.cast("string").alias("_k"),
-        F.unix_micros(ts.cast("timestamp")).alias("_t"),
-        event_id.alias("_id"),
-    )
+def state_key(key: Column) -> Column:
+    """The key as text that is never NULL."""
+    return F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("null"))
+
+
+def undated(df: DataFrame, ts: Column | str) -> DataFrame:
+    """Rows without an instant; admission leaves them out."""
+    return df.where(col(ts).isNull())
 
 
 def _instants(slim: DataFrame, limit: int) -> DataFrame:
@@ -114,6 +128,38 @@ def _fold(slim: DataFrame, ttl: int, limit: int, state: DataFrame | None) -> Dat
     )
 
 
+def admit_sorted(times: np.ndarray, ttl: int, limit: int, start: int | None, used: int) -> tuple[list[int], int | None, int]:
+    """Positions admitted among sorted instants, and the window state after them."""
+    kept: list[int] = []
+    at = 0
+    while at < len(times):
+        if start is None or times[at] >= start + ttl:
+            start, used = int(times[at]), 0
+        end = int(np.searchsorted(times, start + ttl, side="left"))
+        take = min(limit - used, end - at)
+        if take > 0:
+            kept.extend(range(at, at + take))
+            used += take
+        at = max(end, at)
+    return kept, start, used
+
+
+def _scan(slim: DataFrame, ttl: int, limit: int, state: DataFrame | None) -> DataFrame:
+    """Admitted ids by a linear scan of each key; the caller bounds the rows of a key."""
+    if state is None:
+        rows = slim.select("_k", "_t", "_id", F.lit(None).cast("long").alias("_start"), F.lit(0).alias("_n"))
+    else:
+        rows = slim.join(state.select("_k", "_start", "_n"), "_k", "left").select("_k", "_t", "_id", "_start", "_n")
+
+    def run(group: pa.Table) -> pa.Table:
+        order = group.sort_by([("_t", "ascending"), ("_id", "ascending")])
+        start, used = order.column("_start")[0].as_py(), order.column("_n")[0].as_py()
+        kept, _, _ = admit_sorted(order.column("_t").to_numpy(), ttl, limit, start, used or 0)
+        return order.select(["_id"]).take(pa.array(kept, pa.int64()))
+
+    return rows.groupBy("_k").applyInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}")
+
+
 def _dense_round(slim: DataFrame, ttl: int, limit: int, state: DataFrame) -> DataFrame:
     """One slice no longer than ``ttl``: at most one window opens in it per key.
 
@@ -137,9 +183,9 @@ def _dense_round(slim: DataFrame, ttl: int, limit: int, state: DataFrame) -> Dat
     )
 
 
-def _slice_width(slim: DataFrame, ttl: int, bound: int) -> int | None:
+def _slice_width(rows: DataFrame, ttl: int, bound: int) -> int | None:
     """Longest slice (a power of two of ``ttl``) in which no key exceeds the bound."""
-    per_ttl = slim.groupBy("_k", F.floor(F.col("_t") / F.lit(ttl)).alias("_b")).count()
+    per_ttl = rows.groupBy("_k", "_b").count()
     levels = F.explode(F.sequence(F.lit(0), F.lit(_LEVELS)))
     sizes = (
         per_ttl.withColumn("_j", levels)
@@ -151,24 +197,63 @@ def _slice_width(slim: DataFrame, ttl: int, bound: int) -> int | None:
     return ttl << max(fitting) if fitting else None
 
 
-def _hot_chain(slim: DataFrame, ttl: int, limit: int, state: DataFrame | None, bound: int) -> DataFrame:
-    """Admitted ids of hot keys: one round per time slice, state in a table between rounds."""
-    spark = slim.sparkSession
+def _pieces(rows: DataFrame, ttl: int, state: DataFrame | None) -> DataFrame:
+    """(key, stretch) with its piece: independent parts of a key between gaps of at least ``ttl``.
+
+    Stretches have the length of ``ttl``, so a gap lies between two of them. Rows before the end of a
+    carried window stay in the first piece. One row per key and stretch reaches the windows.
+    """
+    spans = rows.groupBy("_key", "_stretch").agg(
+        F.min("_t").alias("_low"), F.max("_t").alias("_high"), F.count(F.lit(1)).alias("_rows"))
+    start = F.lit(None).cast("long")
+    if state is not None:
+        spans = spans.join(state.select(F.col("_k").alias("_key"), "_start"), "_key", "left")
+        start = F.col("_start")
+    order = Window.partitionBy("_key").orderBy("_stretch")
+    opens = (F.col("_low") - F.lag("_high").over(order) >= ttl) & (start.isNull() | (F.col("_low") >= start + F.lit(ttl)))
+    cut = spans.withColumn("_cut", F.coalesce(opens, F.lit(False)).cast("int")).withColumn("_piece", F.sum("_cut").over(order))
+    whole = Window.partitionBy("_key", "_piece")
+    return cut.select("_key", "_stretch", "_piece", F.min("_stretch").over(whole).alias("_first"), F.sum("_rows").over(whole).alias("_rows"))
+
+
+def _hot_admitted(slim: DataFrame, ttl: int, limit: int, state: DataFrame | None, bound: int) -> DataFrame:
+    """Admitted ids of hot keys: short pieces by scans, long ones by rounds."""
+    base = shared_dir(slim.sparkSession, "ttl-pieces")
+    stretched = _stored(slim.select(F.col("_k").alias("_key"), "_t", "_id", F.floor(F.col("_t") / F.lit(ttl)).alias("_stretch")), f"{base}/rows")
+    pieces = _stored(_pieces(stretched, ttl, state), f"{base}/pieces")
+    name = F.concat_ws("#", F.col("_piece").cast("string"), "_key").alias("_k")
+    rows = stretched.join(pieces, ["_key", "_stretch"]).select(
+        name, "_t", "_id", (F.col("_stretch") - F.col("_first")).alias("_b"), F.col("_rows").alias("_size"))
+    own = None
+    if state is not None:
+        own = _stored(pieces.where("_piece = 0").select("_key", "_piece").distinct().join(
+            state.withColumnRenamed("_k", "_key"), "_key").select(name, "_start", "_n"), f"{base}/state")
+    short = _scan(rows.where(F.col("_size") <= bound).select("_k", "_t", "_id"), ttl, limit, own)
+    if pieces.where(F.col("_rows") > bound).isEmpty():
+        return short
+    return short.unionByName(_hot_chain(rows.where(F.col("_size") > bound).drop("_size"), ttl, limit, own, bound))
+
+
+def _hot_chain(rows: DataFrame, ttl: int, limit: int, state: DataFrame | None, bound: int) -> DataFrame:
+    """Admitted ids of long pieces: one round per time slice, state in a table between rounds.
+
+    ``rows`` has (_k, _t, _id) and the stretch since the piece began (_b).
+    """
+    spark = rows.sparkSession
     base = shared_dir(spark, "ttl-chain")
-    slim.withColumn("_b", F.floor(F.col("_t") / F.lit(ttl))).write.parquet(f"{base}/rows")
-    rows = spark.read.parquet(f"{base}/rows")
+    id_type = rows.schema["_id"].dataType.simpleString()
+    rows = _stored(rows, f"{base}/rows")
     width = _slice_width(rows, ttl, bound)
     span = (width or ttl) // ttl
     sliced = rows.withColumn("_s", F.floor(F.col("_b") / F.lit(span)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sliced.repartition("_s", F.pmod(F.xxhash64("_k", "_t"), F.lit(parts))).write.partitionBy("_s").parquet(f"{base}/slices")
     slices = spark.read.parquet(f"{base}/slices")
-    numbers = sorted(r["_s"] for r in slices.select("_s").distinct().collect())
+    last = sliced.agg(F.max("_s").alias("_s")).first()["_s"]
     current = state if state is not None else spark.createDataFrame([], STATE_SCHEMA)
-    id_type = slim.schema["_id"].dataType.simpleString()
     step_schema = f"_k string, _start long, _n int, _ids array<{id_type}>"
-    for number in numbers:
-        part = slices.where(F.col("_s") == number).drop("_s", "_b")
+    for number in range(last + 1):  # a piece has no gap, so every slice up to its end has rows
+        part = slices.where(F.col("_s") == number).select("_k", "_t", "_id")
         step = _fold(part, ttl, limit, current) if width else _dense_round(part, ttl, limit, current)
         after = current.alias("c").join(step.alias("s"), "_k", "full_outer").select(
             "_k",
@@ -178,38 +263,78 @@ def _hot_chain(slim: DataFrame, ttl: int, limit: int, state: DataFrame | None, b
         )
         after.write.parquet(f"{base}/rounds/{number}")
         current = spark.read.schema(step_schema).parquet(f"{base}/rounds/{number}").drop("_ids")
-    if not numbers:
-        return slim.select("_id").limit(0)
-    rounds = spark.read.schema(step_schema).parquet(*[f"{base}/rounds/{n}" for n in numbers])
+    rounds = spark.read.schema(step_schema).parquet(*[f"{base}/rounds/{n}" for n in range(last + 1)])
     return rounds.select(F.explode("_ids").alias("_id"))
 
 
-def admitted_ids(
-    df: DataFrame, key: Column, ts: Column, event_id: Column, ttl: timedelta, limit: int = 1,
-    state: DataFrame | None = None, max_rows_per_key: int = MAX_ROWS_PER_KEY,
-) -> DataFrame:
-    """Ids (column ``_id``) of the admitted events. ``state`` holds (_k, _start, _n) of earlier runs."""
-    ttl_us = int(ttl.total_seconds() * 1_000_000)
-    slim = _slim(df, key, ts, event_id)
-    counts = df.groupBy(key.cast("string").alias("_k")).count()
-    hot = counts.where(F.col("count") > max_rows_per_key).select("_k")
-    hot_keys = hot.count()
-    if hot_keys == 0:
-        return _fold(slim, ttl_us, limit, state).select(F.explode("_ids").alias("_id"))
-    if hot_keys <= MAX_BROADCAST_KEYS:
-        hot = F.broadcast(hot)
-    cold = _fold(slim.join(hot, "_k", "left_anti"), ttl_us, limit, state)
-    chain = _hot_chain(_instants(slim.join(hot, "_k", "left_semi"), limit), ttl_us, limit, state, max_rows_per_key)
-    return cold.select(F.explode("_ids").alias("_id")).unionByName(chain)
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _keys_of(keys: DataFrame) -> DataFrame:
+    """Keys for a join: broadcast once counted as few."""
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+
+
+def _admitted(slim: DataFrame, ttl: int, limit: int, state: DataFrame | None, bound: int, base: str) -> DataFrame:
+    """Admitted ids (column ``_id``) of stored rows (_k, _t, _id), by size of key."""
+    if state is not None:
+        state = _stored(state.select(state_key(F.col("_k")).alias("_k"), "_start", "_n"), f"{base}/state")
+    large = _stored(slim.groupBy("_k").count().where(F.col("count") > min(FOLD_ROWS, bound)), f"{base}/large")
+    if large.isEmpty():
+        return _fold(slim, ttl, limit, state).select(F.explode("_ids").alias("_id"))
+    small = _fold(slim.join(_keys_of(large.select("_k")), "_k", "left_anti"), ttl, limit, state).select(F.explode("_ids").alias("_id"))
+    middle = _keys_of(large.where(F.col("count") <= bound).select("_k"))
+    ids = small.unionByName(_scan(slim.join(middle, "_k", "left_semi"), ttl, limit, state))
+    hot = large.where(F.col("count") > bound).select("_k")
+    if hot.isEmpty():
+        return ids
+    shrunk = _instants(slim.join(_keys_of(hot), "_k", "left_semi"), limit)
+    return ids.unionByName(_hot_admitted(shrunk, ttl, limit, state, bound))
 
 
 def admit(
     df: DataFrame, key: Column | str, ts: Column | str, event_id: str, ttl: timedelta, limit: int = 1,
     state: DataFrame | None = None, max_rows_per_key: int = MAX_ROWS_PER_KEY,
 ) -> DataFrame:
-    """Rows of ``df`` that are admitted; ``event_id`` must be unique per row."""
-    ids = admitted_ids(df, col(key), col(ts), F.col(event_id), ttl, limit, state, max_rows_per_key)
-    return df.join(ids.withColumnRenamed("_id", event_id), event_id, "left_semi").select(*df.columns)
+    """Rows of ``df`` that are admitted; ``event_id`` must be unique per row.
+
+    ``state`` holds (_k, _start, _n) of earlier runs, with the key as text in ``_k``.
+    """
+    base = shared_dir(df.sparkSession, "admission")
+    held = df.where(col(ts).isNotNull()).withColumns({
+        "_chain": state_key(col(key)), "_instant": F.unix_micros(col(ts).cast("timestamp"))})
+    rows = _stored(held, f"{base}/rows")
+    slim = rows.select(F.col("_chain").alias("_k"), F.col("_instant").alias("_t"), F.col(event_id).alias("_id"))
+    ids = _admitted(slim, int(ttl.total_seconds() * 1_000_000), limit, state, max_rows_per_key, base)
+    return rows.join(ids.withColumnRenamed("_id", event_id), event_id, "left_semi").select(*df.columns)
+
+
+def windows_after(
+    admitted: DataFrame, key: Column | str, ts: Column | str, ttl: timedelta, limit: int, state: DataFrame | None = None,
+) -> DataFrame:
+    """(_k, _start, _n) of every key of ``admitted``: its last window and how many rows that admitted.
+
+    Admitted rows replay to the same windows. A key has at most ``limit`` of them per window, so its
+    instants form a short array even where it had many rows.
+    """
+    ttl_us = int(ttl.total_seconds() * 1_000_000)
+    per_key = admitted.groupBy(col(key).cast("string").alias("_k")).agg(
+        F.sort_array(F.collect_list(F.unix_micros(col(ts).cast("timestamp")))).alias("_xs"))
+    start, used = F.lit(None).cast("long"), F.lit(0)
+    if state is not None:
+        known = state.select(F.col("_k").alias("_known"), "_start", "_n")
+        per_key = per_key.join(known, F.col("_k").eqNullSafe(F.col("_known")), "left")
+        start, used = F.col("_start"), F.coalesce(F.col("_n"), F.lit(0))
+
+    def step(acc: Column, t: Column) -> Column:
+        opens = acc["start"].isNull() | (t >= acc["start"] + F.lit(ttl_us))
+        return F.struct(F.when(opens, t).otherwise(acc["start"]).alias("start"),
+                        F.when(opens, F.lit(1)).otherwise(F.least(acc["n"] + 1, F.lit(limit))).alias("n"))
+
+    last = F.aggregate("_xs", F.struct(start.alias("start"), used.cast("int").alias("n")), step)
+    return per_key.select("_k", last.alias("_f")).select("_k", F.col("_f.start").alias("_start"), F.col("_f.n").alias("_n"))
 
 
 def dedup_ttl(

@@ -170,3 +170,64 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     assert ingest.stored_jobs(spark, f"{base}/t").count() == whole.count()
     shown = tail_events(read_posting_events(spark, f"{base}/in"), 2).collect()
     assert [r["event_id"] for r in shown] == ["148", "149"] and shown[0]["stack_shown"] == "Python, FastAPI"
+
+
+# -- NULL keys and instants, long chains, late rows ------------------------------------------------
+
+
+def odd_sample(seed, n):
+    rows = sample(seed, n, [None, "a", "a", "b"], 24 * 30, step=90)
+    return [*rows, *[(k, None, f"x{i}") for i, k in enumerate(["a", None, "b"] * 4)]]
+
+
+@pytest.mark.parametrize("bound", [3, 60, 200_000])
+def test_null_keys_and_instants_at_every_bound(spark, bound):
+    rows, ttl = odd_sample(21, 500), timedelta(hours=20)
+    dated = [r for r in rows if r[1]]
+    for limit in (1, 3):
+        got = dedup.admit(spark.createDataFrame(rows, ROWS), "k", "at", "event_id", ttl, limit, max_rows_per_key=bound)
+        assert ids(got) == brute(dated, ttl, limit)
+    assert ids(dedup.undated(spark.createDataFrame(rows, ROWS), "at")) == {r[2] for r in rows if not r[1]}
+    far = int((START + timedelta(days=20)).timestamp() * 1e6)
+    state = spark.createDataFrame([(None, far, 1), ("a", 0, 1)], dedup.STATE_SCHEMA)
+    got = dedup.admit(spark.createDataFrame(rows, ROWS), "k", "at", "event_id", ttl, state=state, max_rows_per_key=bound)
+    later = START + timedelta(days=20) + ttl
+    assert ids(got) == brute([r for r in dated if r[0] is not None or r[1] >= later], ttl)
+
+
+def test_a_long_chain_ends_in_seconds(spark):
+    df = spark.range(200_000).selectExpr("'k' AS k", "timestamp_seconds(id * 60) AS at", "cast(id AS string) AS event_id")
+    assert dedup.admit(df, "k", "at", "event_id", timedelta(minutes=1)).count() == 200_000
+    assert dedup.admit(df, "k", "at", "event_id", timedelta(minutes=2), max_rows_per_key=30_000).count() == 100_000
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_batches_lose_no_row(spark, tmp_path, limit):
+    rows, ttl, base = odd_sample(31, 400), timedelta(days=2), str(tmp_path)
+    parts = [rows[:250], rows[250:330], rows[330:]]
+    for part in parts:
+        land(spark, part, ROWS, f"{base}/in")
+        events = spark.readStream.schema(ROWS).json(f"{base}/in")
+        admission.admit_batches(events, f"{base}/t", f"{base}/check", key="k", ts="at", event_id="event_id", ttl=ttl, limit=limit,
+                                lateness=timedelta(days=3), max_rows_per_key=40).awaitTermination()
+    late, undated = (ids(spark.read.schema(ROWS).parquet(f"{base}/t/{t}")) for t in ("late", "undated"))
+    assert undated == {r[2] for r in rows if not r[1]}
+    windows, want, high, missed = {}, set(), None, set()
+    for part in parts:
+        dated = sorted((r for r in part if r[1]), key=lambda r: (r[1], r[2]))
+        top = max([r[1] for r in dated] + ([high] if high else []))
+        for key, at, eid in dated:
+            if high and at < high - timedelta(days=3):
+                missed.add(eid)
+                continue
+            start, n = windows.get(key, (None, 0))
+            if start is None or at >= start + ttl:
+                start, n = at, 0
+            if n < limit:
+                want.add(eid)
+                n += 1
+            windows[key] = (start, n)
+        high = top
+    assert late == missed and ids(spark.read.schema(ROWS).parquet(f"{base}/t/admitted")) == want
+    admission.admit_batch(spark.createDataFrame(parts[2], ROWS), 2, f"{base}/t", "k", "at", "event_id", ttl, limit, timedelta(days=3))
+    assert ids(spark.read.schema(ROWS).parquet(f"{base}/t/admitted")) == want

@@ -9,9 +9,11 @@ from pyspark.sql.window import Window
 from postloom import lexicon
 from postloom.functions.dates import parse_iso
 from postloom.functions.text import blank_to_null, fill, nz
+from postloom.session import shared_dir
 
 MAX_AGE_DAYS = 7
 DIGEST_JOBS = 100
+MAX_BROADCAST_SOURCES = 50_000
 
 
 def digest_select(jobs: DataFrame, as_of: Column, days: int = MAX_AGE_DAYS, posted: str = "posted_at") -> DataFrame:
@@ -25,33 +27,40 @@ def _source() -> Column:
     return F.coalesce(blank_to_null("source"), F.lit("unknown"))
 
 
+def _numbered(rows: DataFrame, order: list[str], purpose: str) -> DataFrame:
+    """``rows`` with ``_number``, their place from 1 in a total order.
+
+    Ranges of the order are sorted by many tasks and written once; a range's offset is the count of the
+    ranges before it, from one row per range. No value of any column gathers rows in one task.
+    """
+    spark = rows.sparkSession
+    path = shared_dir(spark, purpose)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path).withColumns({
+        "_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = stored.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return stored.join(F.broadcast(before), "_range").withColumn("_number", F.col("_before") + F.col("_at") + 1).drop(
+        "_range", "_at", "_before")
+
+
 def digest_groups(jobs: DataFrame, time: str = "created_at", tie: str = "id") -> DataFrame:
     """Jobs with their source group: order of first appearance, size, and index within the group.
 
-    Indexes come from per-hour counts and their running sum, plus a rank within the hour, so a
-    source that holds most jobs is still numbered by many tasks.
+    Jobs are numbered in the order of source, time and id, so a source is a run of numbers and an
+    index its distance from the first; neither a source nor an instant that holds most jobs gathers
+    them in one task. Sources are ranked in the same way.
     """
-    rows = jobs.withColumns({"source": _source(), "_hour": F.date_trunc("hour", time)})
-    hours = rows.groupBy("source", "_hour").agg(
-        F.count("*").alias("_n"), F.min(F.struct(time, tie)).alias("_first")
-    )
-    per_source = Window.partitionBy("source")
-    offsets = hours.select(
-        "source", "_hour",
-        (F.sum("_n").over(per_source.orderBy("_hour")) - F.col("_n")).alias("_before"),
-    )
-    sizes = hours.groupBy("source").agg(F.sum("_n").alias("group_size"), F.min("_first").alias("_first"))
-    groups = sizes.select(
-        "source", "group_size",
-        # one row per source: a handful, ranked in one small task
-        F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first")).alias("group_position"),
-    )
-    within = Window.partitionBy("source", "_hour").orderBy(time, tie)
-    ranked = rows.withColumn("_at", F.row_number().over(within))
-    # the small tables meet first; the rows keep the partitioning of their ranks
-    joined = ranked.join(offsets.join(groups, "source"), ["source", "_hour"])
-    index = (F.col("_before") + F.col("_at")).alias("index_in_group")
-    return joined.select(*jobs.columns, "group_position", "group_size", index)
+    rows = _numbered(jobs.withColumn("source", _source()), ["source", time, tie], "digest-rows")
+    sizes = rows.groupBy("source").agg(
+        F.count("*").alias("group_size"), F.min("_number").alias("_start"), F.min(F.struct(time, tie)).alias("_first"))
+    groups = _numbered(sizes, ["_first"], "digest-sources").select(
+        "source", "group_size", "_start", F.col("_number").alias("group_position"))
+    if groups.count() <= MAX_BROADCAST_SOURCES:
+        groups = F.broadcast(groups)
+    index = (F.col("_number") - F.col("_start") + 1).alias("index_in_group")
+    return rows.join(groups, "source").select(*jobs.columns, "group_position", "group_size", index)
 
 
 def _line(job: Column, index: Column) -> Column:

@@ -36,14 +36,24 @@ def _anchor(pattern: Column) -> Column:
     return F.array_max(pieces)["p"]
 
 
-def companies_containing(jobs: DataFrame, contacts: DataFrame) -> DataFrame:
+def _first_contact() -> Column:
+    """Order of the newest contact: later instants first, missing ones last, then by id."""
+    at = F.col("created_at")
+    return F.struct(at.isNull().alias("none"), (-F.unix_micros(at)).alias("age"), F.col("id").alias("id"))
+
+
+def companies_containing(jobs: DataFrame, contacts: DataFrame, newest: int = NEWEST_CONTACTS) -> DataFrame:
     """Pairs (job_company, company) where the contact's company contains the job's, any case.
 
     Containment as an equality join: each distinct contact company is spread into its substrings
     of the lengths in use and met by the longest literal piece of the job's company; the pattern
-    itself, with its wildcards, is then checked. No product of companies is formed.
+    itself, with its wildcards, is then checked. No product of companies is formed. Per job company
+    only the ``newest`` companies by their newest contact stay, as no other can hold one of its
+    newest contacts; Spark prunes these ranks before the shuffle. Names without any literal piece
+    are left to ``unnamed_contacts``.
     """
-    wanted = jobs.select(F.col("company").alias("job_company")).distinct().withColumn("_anchor", _anchor(F.col("job_company")))
+    wanted = jobs.select(F.col("company").alias("job_company")).distinct().withColumn(
+        "_anchor", _anchor(F.col("job_company"))).where(F.col("_anchor") != "")
     lengths = wanted.agg(F.array_sort(F.collect_set(F.length("_anchor"))).alias("n")).scalar()
     low = F.lower(F.col("company"))
 
@@ -53,11 +63,25 @@ def companies_containing(jobs: DataFrame, contacts: DataFrame) -> DataFrame:
         ).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(low, i, n))
 
-    spread = contacts.select("company").distinct().withColumn("_n", lengths).select(
-        "company", F.explode(F.array_distinct(F.flatten(F.transform("_n", pieces)))).alias("_anchor")
+    spread = contacts.groupBy("company").agg(F.min(_first_contact()).alias("_first")).withColumn("_n", lengths).select(
+        "company", "_first", F.explode(F.array_distinct(F.flatten(F.transform("_n", pieces)))).alias("_anchor")
     )
-    met = spread.join(wanted, "_anchor")
-    return met.where(F.expr("company ILIKE concat('%', job_company, '%')")).select("job_company", "company")
+    met = spread.join(wanted, "_anchor").where(F.expr("company ILIKE concat('%', job_company, '%')"))
+    order = Window.partitionBy("job_company").orderBy("_first")
+    return met.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= newest).select("job_company", "company")
+
+
+def unnamed_contacts(jobs: DataFrame, contacts: DataFrame, newest: int = NEWEST_CONTACTS) -> DataFrame:
+    """The ``newest`` contacts for each job company that is blank or all wildcards, as ``job_company``.
+
+    Such a name asks for nothing but a least length, so contacts are ranked once per length in use.
+    """
+    wanted = jobs.select(F.col("company").alias("job_company")).distinct().where(_anchor(F.col("job_company")) == "").withColumn(
+        "_least", F.length(F.regexp_replace("job_company", r"[^_]", "")))
+    lengths = wanted.agg(F.array_sort(F.collect_set("_least")).alias("n")).scalar()
+    fits = contacts.where(F.col("company").isNotNull()).withColumn("_lengths", lengths).withColumn("_least", F.explode(
+        F.filter("_lengths", lambda n: n <= F.length("company")))).drop("_lengths")
+    return _newest_per(fits, "_least", newest).drop("_rank").join(wanted, "_least").drop("_least")
 
 
 def draft_candidates(jobs: DataFrame, contacts: DataFrame, newest: int = NEWEST_CONTACTS) -> DataFrame:
@@ -66,8 +90,10 @@ def draft_candidates(jobs: DataFrame, contacts: DataFrame, newest: int = NEWEST_
     Contacts are the ``newest`` whose company contains the job's company; a job without any is
     left out, a job whose contacts are all invalid is drafted without one.
     """
-    few = _newest_per(contacts.select("id", "company", "verified", "created_at"), "company", newest).drop("_rank")
-    pairs = companies_containing(jobs, contacts).join(few, "company")
+    slim = contacts.select("id", "company", "verified", "created_at")
+    few = _newest_per(slim, "company", newest).drop("_rank")
+    pairs = companies_containing(jobs, slim, newest).join(few, "company")
+    pairs = pairs.unionByName(unnamed_contacts(jobs, slim, newest).select(*pairs.columns))
     best = _best(_newest_per(pairs, "job_company", newest), "job_company")
     return jobs.join(best.withColumnRenamed("job_company", "company"), "company")
 

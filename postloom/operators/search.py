@@ -53,8 +53,8 @@ def search_queries(profiles: DataFrame) -> DataFrame:
 def score_results(results: DataFrame, min_score: int = 2, seq: str = "seq", scope: Sequence[str] = ()) -> DataFrame:
     """Every search result with canonical URL, score and the reason why it is kept or not.
 
-    ``seq`` orders results and is unique; a URL counts as seen from its first result that is
-    neither missing nor blocked, within one ``scope`` (a request). The first result per URL is
+    ``seq`` orders results and is unique within one ``scope`` (a request, its columns not NULL); a URL
+    counts as seen from its first result of the scope that is neither missing nor blocked. The first result per URL is
     found by a pre-aggregated minimum and matched by ``seq``, so a URL with many copies never
     meets in one task.
     """
@@ -66,10 +66,10 @@ def score_results(results: DataFrame, min_score: int = 2, seq: str = "seq", scop
     firsts = (
         rows.where(F.col("_early").isNull())
         .groupBy(*scope, "norm_url").agg(F.min(seq).alias(seq))
-        .select(seq, F.lit(True).alias("_first"))
+        .select(*scope, seq, F.lit(True).alias("_first"))
     )
     text = F.lower(F.concat(nz("title"), F.lit(" "), nz("snippet"), F.lit(" "), F.col("norm_url")))
-    joined = rows.join(firsts, seq, "left").withColumn("_text", text)
+    joined = rows.join(firsts, [*scope, seq], "left").withColumn("_text", text)
     scored = joined.withColumn("score", count_terms(F.col("_text"), lexicon.HIGH_SIGNAL_TERMS))
     reason = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
@@ -90,15 +90,18 @@ def candidates(scored: DataFrame) -> DataFrame:
 
 
 def search_fanout(queries: DataFrame, seeds: DataFrame, per_query: int = 10, min_score: int = 2) -> DataFrame:
-    """Each query (position, query) with the first ``per_query`` seed results, then scored.
+    """Each query with the first ``per_query`` seed results, then scored.
 
-    The seeds are a fixed handful, read as one value by a scalar subquery; no join is planned.
+    ``queries`` has (profile_id, position, query), one request per profile: results are numbered and
+    duplicates found within a profile. Without profile_id all queries are one request. The seeds are
+    a fixed handful, read as one value by a scalar subquery; no join is planned.
     """
+    scope = [c for c in ("profile_id",) if c in queries.columns]
     few = seeds.orderBy("seq").limit(per_query)
     listed = few.agg(F.array_sort(F.collect_list(F.struct("seq", "title", "url", "snippet"))).alias("s"))
-    fanned = queries.select("position", "query", F.posexplode(listed.scalar()).alias("_n", "_seed"))
+    fanned = queries.select(*scope, "position", "query", F.posexplode(listed.scalar()).alias("_n", "_seed"))
     results = fanned.select(
-        (F.col("position").cast("long") * per_query + F.col("_n")).alias("seq"), "query",
+        *scope, (F.col("position").cast("long") * per_query + F.col("_n")).alias("seq"), "query",
         "_seed.title", "_seed.url", "_seed.snippet",
     )
-    return score_results(results, min_score)
+    return score_results(results, min_score, scope=scope)

@@ -15,6 +15,7 @@ from postloom.functions.text import col
 from postloom.operators.filters import check_choice, job_predicate
 
 MAX_PAGE = 500
+MAX_GROUPS = 10_000
 
 
 def _page(limit: int, offset: int, most: int | None = None) -> None:
@@ -53,7 +54,8 @@ def page_info(total: DataFrame, limit: int, offset: int) -> DataFrame:
     )
 
 
-def row_by_id(table: DataFrame, row_id: str) -> DataFrame:
+def row_by_id(table: DataFrame, row_id: Column | str) -> DataFrame:
+    """The row of an id, given as text or as a scalar subquery."""
     return table.where(F.col("id") == row_id)
 
 
@@ -96,11 +98,17 @@ def stats_by(jobs: DataFrame, column: str, as_of: Column, days: int | None = 30)
     return recent.groupBy(key.alias(column)).agg(F.count("*").alias("jobs"))
 
 
-def stats_map(jobs: DataFrame, as_of: Column, days: int | None = 30) -> DataFrame:
-    """One row with both counts as maps; each is a handful of groups by then."""
+def stats_map(jobs: DataFrame, as_of: Column, days: int | None = 30, most: int = MAX_GROUPS) -> DataFrame:
+    """One row with both counts as maps; fails if a column has more than ``most`` values.
+
+    The long form, ``stats_by``, has no bound.
+    """
     def as_map(column: str) -> Column:
-        groups = stats_by(jobs, column, as_of, days)
-        return groups.agg(F.map_from_entries(F.collect_list(F.struct(column, "jobs")))).scalar()
+        groups = stats_by(jobs, column, as_of, days).limit(most + 1)
+        map_ = F.map_from_entries(F.collect_list(F.struct(column, "jobs")))
+        checked = F.when(F.count("*") <= most, map_).otherwise(
+            F.raise_error(F.lit(f"{column} has more than {most} values; use stats_by")).cast("map<string,bigint>"))
+        return groups.agg(checked).scalar()
 
     one = jobs.sparkSession.range(1)
     return one.select(as_map("source").alias("by_source"), as_map("status").alias("by_status"))
@@ -147,11 +155,11 @@ def count_contacts(contacts: DataFrame, company: str | None) -> DataFrame:
     return _company_like(contacts, company).agg(F.count("*").alias("total"))
 
 
-def contacts_by_job(contacts: DataFrame, job_id: str, limit: int = 50, offset: int = 0) -> DataFrame:
+def contacts_by_job(contacts: DataFrame, job_id: Column | str, limit: int = 50, offset: int = 0) -> DataFrame:
     return _newest(contacts.where(F.col("job_id") == job_id), limit, offset)
 
 
-def emails_by_job(emails: DataFrame, job_id: str) -> DataFrame:
+def emails_by_job(emails: DataFrame, job_id: Column | str) -> DataFrame:
     found = emails.where(F.col("job_id") == job_id)
     return found.orderBy(F.col("generated_at").desc(), F.col("id").asc())
 

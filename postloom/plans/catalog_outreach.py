@@ -96,6 +96,28 @@ def _(spark, d):
     return rows.select("seq", "query", "score", "reason")
 
 
+@query("j5_search_fanout_profiles", """
+SELECT profile_id, seq, query, CAST(score AS INT) AS score,
+       CASE WHEN reason IN ('missing_url', 'blocked_domain') THEN reason
+            WHEN seq >= 10 OR reason = 'duplicate_url' THEN 'duplicate_url' ELSE reason END AS reason
+FROM (SELECT profile_id, position * 10 + n AS seq, query, score, reason
+      FROM (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS n FROM scored ORDER BY seq LIMIT 10) JOIN asked ON true)""",
+       ["search_results"], ctes=_SCORED + """,
+asked AS (SELECT s_suppkey AS profile_id, CAST(p AS BIGINT) AS position,
+  concat(CASE p WHEN 0 THEN 'site:jobs.lever.co ' ELSE 'site:linkedin.com/jobs ' END, '"', s_name, '" "', s_suppkey, '"') AS query
+  FROM supplier, (VALUES (0), (1)) AS v(p))""")
+def _(spark, d):
+    """Two queries for each of many profiles, each profile a request of its own."""
+    none = F.lit(None)
+    profiles = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("profile_id"), F.col("s_name").alias("role"), F.array(F.col("s_suppkey").cast("string")).alias("stack"),
+        none.cast("string").alias("location"), none.cast("int").alias("year"), none.cast("date").alias("after"),
+        F.array(F.lit("lever"), F.lit("linkedin_jobs")).alias("platforms"), none.cast("int").alias("max_queries"))
+    seeds = view(spark, d, "search_results").select("seq", "title", "url", "snippet")
+    rows = search.search_fanout(search.search_queries(profiles), seeds)
+    return rows.select("profile_id", "seq", "query", "score", "reason")
+
+
 # -- contacts ------------------------------------------------------------------------------
 
 _PATTERN_SQL = """CASE WHEN regexp_matches(lower(split_part(email, '@', 1)), '^[a-z]+\\.[a-z]+$') THEN concat('{first}.{last}@', domain)
@@ -296,7 +318,7 @@ def _(spark, d):
 _REQUESTS = """
 requests AS (SELECT CASE WHEN ck % 9 = 0 THEN 'gone' ELSE job_id END AS job_id, id AS contact_id,
   CASE ck % 4 WHEN 0 THEN 'cold_outreach' WHEN 1 THEN 'recruiter_outreach' WHEN 2 THEN 'referral_outreach' ELSE 'followup' END AS template,
-  CASE WHEN ck % 5 = 0 THEN 'Priya Menon' END AS referred_by, ck FROM contacts),
+  CASE WHEN ck % 5 = 0 THEN 'Noor Haddad' END AS referred_by, ck FROM contacts),
 contexts AS (SELECT requests.*, coalesce(jobs.company, 'the company') AS company, coalesce(role, 'the role') AS role,
   coalesce(product, '') AS product, stack, name AS contact_name
   FROM requests LEFT JOIN jobs ON requests.job_id = jobs.id
@@ -310,7 +332,7 @@ def _contexts(spark, d):
         F.when(k % 9 == 0, "gone").otherwise(F.col("job_id")).alias("job_id"), F.col("id").alias("contact_id"),
         F.expr("""CASE ck % 4 WHEN 0 THEN 'cold_outreach' WHEN 1 THEN 'recruiter_outreach' WHEN 2 THEN 'referral_outreach'
                   ELSE 'followup' END""").alias("template"),
-        F.when(k % 5 == 0, "Priya Menon").alias("referred_by"), "ck",
+        F.when(k % 5 == 0, "Noor Haddad").alias("referred_by"), "ck",
     )
     named = contacts.withColumn("name", F.when(k % 10 == 0, "").otherwise(F.col("name")))
     return matching.email_context(requests, view(spark, d, "jobs"), named)
@@ -372,13 +394,17 @@ def _(spark, d):
     return outreach.observation_category(docs).select("doc_id", "category")
 
 
-_PICK_SQL = "[" + ", ".join(_sql_text(t) for t in lexicon.OBSERVATIONS["infra"]) + "]"
+_KINDS = list(lexicon.OBSERVATIONS)
+_PICK_SQL = "CASE pk % {n} {cases} END".format(n=len(_KINDS), cases=" ".join(
+    f"WHEN {i} THEN [{', '.join(map(_sql_text, lexicon.OBSERVATIONS[kind]))}]"
+    f"[CAST(concat('0x', substring(md5(id), 1, 6)) AS INT) % {len(lexicon.OBSERVATIONS[kind])} + 1]" for i, kind in enumerate(_KINDS)))
 
 
-@query("g2_pick_observation", f"""
-SELECT id, {_PICK_SQL}[CAST(concat('0x', substring(md5(id), 1, 6)) AS INT) % 4 + 1] AS observation FROM jobs""", ["jobs"])
+@query("g2_pick_observation", f"SELECT id, {_PICK_SQL} AS observation FROM jobs", ["jobs"])
 def _(spark, d):
-    return view(spark, d, "jobs").select("id", outreach.pick_observation("id", F.lit("infra")).alias("observation"))
+    """Every category in turn."""
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.pmod("pk", F.lit(len(_KINDS))) + 1).cast("int"))
+    return view(spark, d, "jobs").select("id", outreach.pick_observation("id", kind).alias("observation"))
 
 
 def _draft_sql() -> str:
@@ -386,7 +412,7 @@ def _draft_sql() -> str:
     names = {
         "contact_name": "coalesce(nullif(contact_name, ''), 'there')",
         "referred_by": "coalesce(referred_by, 'A mutual connection')",
-        "your_stack": "'Go, Kubernetes'", "your_name": "'Aditya Kumar'", "github_url": "'https://git.example.org/a'",
+        "your_stack": "'Go, Kubernetes'", "your_name": "'Sam Okafor'", "github_url": "'https://git.example.org/a'",
         "product_observation": "'Seen.'", "graduation_year": "'2025'", "company": "company", "role": "role",
         "availability": _sql_text(lexicon.DRAFT_DEFAULTS["availability"]),
     }
@@ -404,7 +430,7 @@ SELECT ck, template, substring(split_part(t, chr(10), 1), 10) AS subject, substr
 FROM (SELECT ck, template, {_draft_sql()} AS t FROM contexts)""", ["jobs", "contacts"], ctes=_REQUESTS)
 def _(spark, d):
     contexts = _contexts(spark, d).withColumns({
-        "your_name": F.lit("Aditya Kumar"), "your_stack": F.array(F.lit("Go"), F.lit("Kubernetes")),
+        "your_name": F.lit("Sam Okafor"), "your_stack": F.array(F.lit("Go"), F.lit("Kubernetes")),
         "github_url": F.lit("https://git.example.org/a"), "product_observation": F.lit("Seen."),
         "graduation_year": F.lit(None).cast("int"), "availability": F.lit(None).cast("string"),
     })
@@ -416,7 +442,7 @@ SELECT template, status, count(*) AS drafts, count(*) FILTER (WHERE template <>
   SELECT template, 'draft' AS status FROM contexts) GROUP BY 1, 2""", ["jobs", "contacts"], ctes=_REQUESTS)
 def _(spark, d):
     contexts = _contexts(spark, d).withColumns({
-        "your_name": F.lit("Aditya Kumar"), "your_stack": F.array(F.lit("Go")), "github_url": F.lit("u"),
+        "your_name": F.lit("Sam Okafor"), "your_stack": F.array(F.lit("Go")), "github_url": F.lit("u"),
         "graduation_year": F.lit(2024), "availability": F.lit("any day"),
     })
     drafts = outreach.draft_emails(contexts, as_of())
@@ -570,13 +596,26 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id,
   coalesce(sum(CASE WHEN event_type = 'view' THEN greatest(user_id - 70, 0) END), 0) AS jobs_discovered,
   coalesce(sum(CASE WHEN event_type = 'click' AND event_id % 7 <> 0 THEN event_id % 5 END), 0) AS contacts_found,
   coalesce(sum(CASE WHEN event_type = 'signup' AND event_id % 7 <> 0 THEN event_id % 5 END), 0) AS emails_drafted,
+  coalesce(sum(CASE WHEN event_type NOT IN ('view', 'click', 'signup') AND event_id % 2 = 0 AND event_id % 7 <> 0 THEN event_id % 5 END), 0) AS followups_drafted,
+  coalesce(sum(CASE WHEN event_type NOT IN ('view', 'click', 'signup') AND event_id % 2 = 1 AND event_id % 7 <> 0 THEN event_id % 5 END), 0) AS digest_sent,
   count(*) FILTER (WHERE event_type = 'click' AND event_id % 7 <> 0) AS companies_processed,
   count(*) FILTER (WHERE event_id % 7 = 0) AS errors FROM events GROUP BY 1""")
 def _(spark, d):
-    task = F.expr("CASE event_type WHEN 'view' THEN 'scrape' WHEN 'click' THEN 'discover' WHEN 'signup' THEN 'draft' ELSE 'digest' END")
-    log = table(spark, d, "events").select(
+    return summary.run_summary(_run_log(spark, d))
+
+
+@query("s6_run_errors", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, event_type AS context, CAST(event_id AS VARCHAR) AS detail
+FROM events WHERE event_id % 7 = 0""")
+def _(spark, d):
+    return summary.run_errors(_run_log(spark, d)).drop("task")
+
+
+def _run_log(spark, d):
+    task = F.expr("""CASE event_type WHEN 'view' THEN 'scrape' WHEN 'click' THEN 'discover' WHEN 'signup' THEN 'draft'
+                     ELSE CASE event_id % 2 WHEN 0 THEN 'followup' ELSE 'digest' END END""")
+    return table(spark, d, "events").select(
         F.date_format("ts", "yyyy-MM-dd").alias("run_id"), task.alias("task"), (F.col("event_id") % 7 != 0).alias("ok"),
         (F.col("event_id") % 5).alias("n"), F.lit(70).alias("jobs_before"), F.col("user_id").alias("jobs_after"),
+        F.col("event_type").alias("context"), F.col("event_id").cast("string").alias("detail"),
     )
-    out = summary.run_summary(log)
-    return out.select("run_id", "jobs_discovered", "contacts_found", "emails_drafted", "companies_processed", "errors")

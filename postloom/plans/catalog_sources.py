@@ -12,6 +12,7 @@ from postloom.functions import dates, text, urls
 from postloom.operators import ingest
 from postloom.plans.registry import query
 from postloom.plans.views import AS_OF, as_of, table, view
+from postloom.session import shared_dir
 from postloom.sources import cards, events, feeds, html, links
 
 
@@ -26,13 +27,12 @@ def _shown(name: str):
 SELECT event_id, company, role, source, url, stack, product, location, posted_at,
        strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS seen_at FROM wire_events""", ["wire_events"])
 def _(spark, d):
-    """Wire events as landed JSON lines, read back with the given schema."""
+    """Wire events landed as JSON files, read back with the given schema."""
     from postloom import schemas
 
-    wire = view(spark, d, "wire_events").select(*schemas.POSTING_WIRE.fieldNames())
-    lines = wire.select(F.to_json(F.struct("*")).alias("line"))
-    read = lines.select(F.from_json("line", schemas.POSTING_WIRE).alias("e")).select("e.*")
-    return read.withColumn("seen_at", _shown("seen_at"))
+    land = f"{shared_dir(spark, 'landed')}/events"
+    events.write_events(view(spark, d, "wire_events").select(*schemas.POSTING_WIRE.fieldNames()), land)
+    return events.read_posting_events(spark, land).withColumn("seen_at", _shown("seen_at"))
 
 
 @query("s2_encode_events", f"""
@@ -503,13 +503,11 @@ def _(spark, d):
 
 
 @query("p20_role_slug", """
-SELECT doc_id, regexp_replace(regexp_replace(lower(substring(raw_text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-       replace(lower(substring(raw_text, 1, 40)), ' ', '-') AS spaced FROM texts""", ["texts"])
+SELECT doc_id, regexp_replace(regexp_replace(lower(raw_text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+       replace(lower(raw_text), ' ', '-') AS spaced FROM texts""", ["texts"])
 def _(spark, d):
     return view(spark, d, "texts").select(
-        "doc_id", text.slug(F.substring("raw_text", 1, 80)).alias("slug"),
-        text.space_slug(F.substring("raw_text", 1, 40)).alias("spaced"),
-    )
+        "doc_id", text.slug("raw_text").alias("slug"), text.space_slug("raw_text").alias("spaced"))
 
 
 _NORM_SQL = """CASE WHEN NOT regexp_matches(trim(url), '^https?://[^/?#]') THEN '' ELSE concat(

@@ -49,7 +49,7 @@ SELECT id, company, role, url FROM jobs WHERE id = (SELECT min(id) FROM jobs)"""
 def _(spark, d):
     jobs = view(spark, d, "jobs")
     wanted = jobs.agg(F.min("id")).scalar()
-    return jobs.where(F.col("id") == wanted).select("id", "company", "role", "url")
+    return tables.row_by_id(jobs, wanted).select("id", "company", "role", "url")
 
 
 @query("q4_set_status", """
@@ -126,8 +126,7 @@ ORDER BY created_at DESC, id LIMIT 50""", ["contacts"])
 def _(spark, d):
     contacts = view(spark, d, "contacts")
     wanted = contacts.agg(F.max("job_id")).scalar()
-    found = contacts.where(F.col("job_id") == wanted)
-    return found.orderBy(F.desc("created_at"), "id").limit(50).select("id", "job_id", "company")
+    return tables.contacts_by_job(contacts, wanted).select("id", "job_id", "company")
 
 
 _INCOMING = """
@@ -197,8 +196,7 @@ WHERE job_id = (SELECT min(job_id) FROM emails)""", ["emails"])
 def _(spark, d):
     emails = view(spark, d, "emails")
     wanted = emails.agg(F.min("job_id")).scalar()
-    found = emails.where(F.col("job_id") == wanted).orderBy(F.desc("generated_at"), "id")
-    return found.select("id", "template", "status", _stamp("generated_at"))
+    return tables.emails_by_job(emails, wanted).select("id", "template", "status", _stamp("generated_at"))
 
 
 @query("q13_mark_sent", f"""

@@ -163,16 +163,16 @@ SELECT CASE WHEN pk % 9 = 0 THEN 'no-such-id' ELSE event_id END,
 FROM postings WHERE pk % 4 < 3""",
     "search_results": """
 SELECT page_id * 2 AS seq, concat(CASE page_id % 6 WHEN 0 THEN 'Open roles, apply now: ' WHEN 1 THEN 'Hiring a position: '
-            WHEN 2 THEN 'A tutorial on ' WHEN 3 THEN 'jobs ' ELSE '' END, substring(text, 1, 60)) AS title,
+            WHEN 2 THEN 'A tutorial on ' WHEN 3 THEN 'jobs ' ELSE '' END, text) AS title,
        CASE WHEN page_id % 17 = 0 THEN replace(url, 'example', 'youtube') WHEN page_id % 23 = 0 THEN 'ftp://x.y/z'
             WHEN page_id % 29 = 0 THEN concat('  https://www.youtu.be/', CAST(page_id AS VARCHAR(20)), ' ')
             ELSE url END AS url,
-       substring(text, 61, 140) AS snippet, concat('q', CAST(page_id % 5 AS VARCHAR(20))) AS query
+       text AS snippet, concat('q', CAST(page_id % 5 AS VARCHAR(20))) AS query
 FROM pages JOIN documents ON doc_id = page_id
 UNION ALL
-SELECT page_id * 2 + 1, concat('Careers page, apply: ', substring(text, 1, 40)),
+SELECT page_id * 2 + 1, concat('Careers page, apply: ', text),
        concat(split_part(url, '#', 1), CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'utm_medium=x&B=1%20a+b&c'),
-       substring(text, 1, 30), 'again'
+       text, 'again'
 FROM pages JOIN documents ON doc_id = page_id WHERE page_id % 3 <> 0""",
     "texts": """
 SELECT doc_id, lang, source, text AS raw_text,

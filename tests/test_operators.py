@@ -156,15 +156,15 @@ def test_profiles(spark):
 
 
 def test_drafts(spark):
-    base = ("j", None, "Razorpay", "Backend Engineer", "digital payments", ["Go"], "Aditya Kumar", ["Go", "Kubernetes"],
-            "https://github.com/aditya", None, 2025, None, None)
+    base = ("j", None, "Ledgerly", "Backend Engineer", "digital payments", ["Go"], "Sam Okafor", ["Go", "Kubernetes"],
+            "https://git.example.org/sam", None, 2025, None, None)
     schema = ("job_id string, contact_id string, company string, role string, product string, stack array<string>, your_name string, "
               "your_stack array<string>, github_url string, contact_name string, graduation_year int, availability string, referred_by string")
     df = spark.createDataFrame([base], schema)
     for template in schemas.EMAIL_TEMPLATES:
         row = outreach.draft_emails(df, as_of(), template).first()
         text = row["subject"] + row["body"]
-        assert "{" not in text and "Hi there," in row["body"] and "Razorpay" in text and "None" not in text
+        assert "{" not in text and "Hi there," in row["body"] and "Ledgerly" in text and "None" not in text
         assert not row["subject"].startswith("Subject") and not row["body"].startswith("\n") and len(row["body"].split()) < 160
         picked = any(o in row["body"] for o in lexicon.OBSERVATIONS["fintech"])
         assert picked == (template != "followup")

@@ -47,3 +47,37 @@ def test_pushdown(spark):
     text = plan(table(spark, SF, "orders").where(F.col("o_orderkey") == 7).select("o_orderdate"))
     assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,7)]" in text
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in text
+
+
+def test_admission_reads_its_input_once(spark):
+    """Counting, folding and the final join read the stored rows."""
+    from datetime import timedelta
+
+    from postloom.operators import dedup
+
+    events = table(spark, SF, "events")
+    text = plan(dedup.admit(events, "event_type", "ts", "event_id", timedelta(hours=1)))
+    assert "events.parquet" not in text and "admission-" in text
+    two = plan(dedup.two_stage_dedup(view(spark, SF, "postings"), ["blue"]))
+    assert "lineitem.parquet" not in two
+
+
+def test_no_hot_hour_in_the_digest(spark):
+    from postloom.operators import digest
+
+    jobs = spark.range(4000).selectExpr(
+        "cast(id AS string) AS id", "if(id % 10 = 0, 'b', 'a') AS source", "timestamp'2024-01-01' AS created_at")
+    rows = digest.digest_groups(jobs)
+    assert "partitionBy" not in plan(rows) and plan(rows).count("Window ") == 2  # both over one row per range
+    assert rows.where("source = 'a'").agg(F.max("index_in_group")).first()[0] == 3600
+    assert rows.select("source", "index_in_group").distinct().count() == 4000
+
+
+def test_blank_and_short_names_keep_few_pairs(spark):
+    contacts = spark.range(3000).selectExpr(
+        "concat('c', id) AS id", "concat('Firm a', id) AS company", "if(id % 7 = 0, 'invalid', 'verified') AS verified",
+        "timestamp_seconds(1700000000 + id) AS created_at")
+    jobs = spark.createDataFrame([("j1", ""), ("j2", "%"), ("j3", "_"), ("j4", "a"), ("j5", "firm"), ("j6", "a2_")], "id string, company string")
+    assert matching.companies_containing(jobs, contacts).groupBy("job_company").count().agg(F.max("count")).first()[0] <= 50
+    got = {r["id"]: (r["contacts_seen"], r["contact_id"]) for r in matching.draft_candidates(jobs, contacts).collect()}
+    assert {got[j] for j in ("j1", "j2", "j3", "j4", "j5")} == {(50, "c2999")} and got["j6"] == (50, "c2999")

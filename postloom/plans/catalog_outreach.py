@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postloom import lexicon
+from postloom import lexicon, schemas
 from postloom.functions import dates
 from postloom.functions.vectors import cosine, match_tier
 from postloom.operators import contacts as people
@@ -217,24 +217,47 @@ def _(spark, d):
     return people.resolve_domain(view(spark, d, "companies"), view(spark, d, "domain_probes"))
 
 
-@query("c9_discover_contacts", f"""
-SELECT company, domain, name, email, role, source, CASE WHEN email IS NULL THEN 'unverified' WHEN code = 250 THEN 'verified'
+_FOUND = f"""
+SELECT seq, company, domain, name, email, role, source, CASE WHEN email IS NULL THEN 'unverified' WHEN code = 250 THEN 'verified'
   WHEN code IN (550, 551, 553) THEN 'invalid' ELSE 'unverified' END AS verified FROM (
-  SELECT company, domain, name, source, {_EMAIL_SQL} AS email,
+  SELECT seq, company, domain, name, source, {_EMAIL_SQL} AS email,
     CASE WHEN contains(coalesce(bio, ''), 'engineer') THEN 'Engineer' WHEN contains(coalesce(bio, ''), 'Talent') THEN 'Recruiter'
          ELSE 'Unknown' END AS role
   FROM (SELECT m.*, {_NAMES_SQL}, dd.domain, coalesce(p.pattern, concat('{{first}}.{{last}}@', dd.domain)) AS pattern
         FROM merged m JOIN (SELECT company, coalesce(provided, domain) AS domain FROM resolved) dd
           ON m.company = dd.company AND dd.domain IS NOT NULL
         LEFT JOIN patterns p ON dd.domain = p.domain))
-LEFT JOIN codes ON email = address""",
-       ["companies", "domain_probes", "people", "known_addresses"], ctes=_DOMAINS + "," + _MERGED + "," + _VOTES + """,
+LEFT JOIN codes ON email = address"""
+_FOUND_CTES = _DOMAINS + "," + _MERGED + "," + _VOTES + """,
 codes AS (SELECT concat('ana', chr(CAST(97 + s_suppkey % 26 AS INT)), '.fama', 'a@s', s_suppkey, '.example.com') AS address,
-  CASE WHEN s_suppkey % 2 = 0 THEN 250 ELSE 550 END AS code FROM supplier)""")
+  CASE WHEN s_suppkey % 2 = 0 THEN 250 ELSE 550 END AS code FROM supplier)"""
+_FOUND_VIEWS = ["companies", "domain_probes", "people", "known_addresses"]
+
+
+@query("c9_discover_contacts", f"SELECT * EXCLUDE (seq) FROM ({_FOUND})", _FOUND_VIEWS, ctes=_FOUND_CTES)
 def _(spark, d):
     return _discovered(spark, d).drop("job_id", "seq")
 
 
+@query("c9_store_contacts", """
+SELECT id, job_id, company, domain, name, email, role, source, verified FROM (
+  SELECT struct_extract(arg_min(struct_pack(v := id), ord), 'v') AS id, struct_extract(arg_min(struct_pack(v := job_id), ord), 'v') AS job_id, company,
+         struct_extract(arg_min(struct_pack(v := domain), ord), 'v') AS domain, arg_max(name, ord) AS name, email, arg_max(role, ord) AS role,
+         struct_extract(arg_max(struct_pack(v := source), ord), 'v') AS source, struct_extract(arg_max(struct_pack(v := verified), ord), 'v') AS verified
+  FROM everything WHERE email IS NOT NULL GROUP BY company, email
+  UNION ALL SELECT id, job_id, company, domain, name, email, role, source, verified FROM everything WHERE email IS NULL)""",
+       [*_FOUND_VIEWS, "contacts"], ctes=_FOUND_CTES + f""",
+everything AS (
+  SELECT id, job_id, company, domain, name, email, role, source, verified, CAST(-1 AS BIGINT) AS ord FROM contacts
+  UNION ALL
+  SELECT md5(concat('contact|', company, '|', coalesce(email, concat('#', lower(name))))), NULL, company, domain, name, email, role, source,
+         verified, CAST(seq AS BIGINT) FROM ({_FOUND}))""")
+def _(spark, d):
+    """Discovery stored in the contacts table."""
+    current = view(spark, d, "contacts").select(*schemas.CONTACT.fieldNames())
+    return people.store_contacts(current, _discovered(spark, d), as_of()).drop("created_at")
+
+
 def _discovered(spark, d):
     found = view(spark, d, "people").withColumn("role", people.role_from_bio("bio"))
     replies = table(spark, d, "supplier").select(
@@ -453,6 +476,26 @@ def _(spark, d):
     )
 
 
+@query("draft_cycle", f"""
+SELECT md5(concat('email|', job_id, '|', coalesce(contact_id, ''), '|cold_outreach')) AS id, job_id, contact_id, template,
+       substring(split_part(t, chr(10), 1), 10) AS subject, substring(t, strpos(t, chr(10)) + 2) AS body, 'draft' AS status
+FROM (SELECT job_id, contact_id, template, {_draft_sql()} AS t FROM (
+  SELECT picked.job_id, contact_id, 'cold_outreach' AS template, jobs.company, jobs.role, NULL AS referred_by, contacts.name AS contact_name
+  FROM picked JOIN jobs ON picked.job_id = jobs.id LEFT JOIN contacts ON contact_id = contacts.id))""", ["jobs", "contacts"],
+       ctes=_BATCH.format(n=20, name="batch.company"))
+def _(spark, d):
+    """Newest new jobs, their contacts, the choice, the context, the email rows."""
+    jobs, contacts = view(spark, d, "jobs"), view(spark, d, "contacts")
+    chosen = matching.draft_candidates(tables.new_job_batch(jobs, "draft"), contacts)
+    requests = chosen.select(F.col("id").alias("job_id"), "contact_id", F.lit(None).cast("string").alias("referred_by"))
+    contexts = matching.email_context(requests, jobs, contacts).withColumns({
+        "your_name": F.lit("Sam Okafor"), "your_stack": F.array(F.lit("Go"), F.lit("Kubernetes")),
+        "github_url": F.lit("https://git.example.org/a"), "observation": F.lit("Seen."),
+        "graduation_year": F.lit(None).cast("int"), "availability": F.lit(None).cast("string"),
+    })
+    return outreach.draft_emails(contexts, as_of(), "cold_outreach").drop("generated_at", "sent_at")
+
+
 @query("g4_split_rendered", """
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(lines[1]) END AS subject,
   trim(CASE WHEN doc_id % 3 = 0 THEN concat('No ', lines[1], chr(10), array_to_string(lines[3:], chr(10)))

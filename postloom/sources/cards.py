@@ -9,11 +9,11 @@ from postloom import lexicon
 from postloom.functions.frames import computed
 from postloom.functions.text import blank_to_null, collapse, nz, strip
 
-_EDGE = F.lit
 
 def _trim_commas(c: Column) -> Column:
     return F.btrim(c, F.lit(" ,"))
 
+
 def parse_listing_cards(
     cards: DataFrame, href: str = "href", text: str = "text", base: str = "https://unstop.com",
     source: str = "unstop",
@@ -24,27 +24,24 @@ def parse_listing_cards(
     location, so the longest start of that text found there is the role; without a repeat the
     words are halved.
     """
-    split_at = rf"(?is)^(.*?)\b({lexicon.CARD_EXPERIENCE})\b(.*)$"
+    marker = rf"(?i)\b(?:{lexicon.CARD_EXPERIENCE})\b"
     work_mode = rf"(?i)\b({lexicon.CARD_WORK_MODE})\b"
-    up_to_mode = rf"(?is)^(.*?\b(?:{lexicon.CARD_WORK_MODE})\b)"
-    one_line = collapse(nz(text))
 
-    step = computed(cards, _text=one_line).where(
-        (F.length("_text") >= 20) & F.col("_text").rlike(split_at)
-    )
-    step = computed(
-        step,
-        _pre=strip(F.regexp_extract("_text", split_at, 1)),
-        _post=strip(F.regexp_extract("_text", split_at, 3)),
-    )
+    # One pass per pattern: a split at the first match gives what stands before and after it.
+    step = computed(cards, _text=collapse(nz(text))).where(F.length("_text") >= 20)
+    step = computed(step, _parts=F.split("_text", marker, 2)).where(F.size("_parts") == 2)
+    step = computed(step, _pre=strip(F.get("_parts", 0)), _post=strip(F.get("_parts", 1)))
     step = computed(
         step,
         _mode=F.regexp_extract("_post", work_mode, 1),
-        _mode_end=F.length(F.regexp_extract("_post", up_to_mode, 1)),
+        _before_mode=F.length(F.get(F.split("_post", work_mode, 2), 0)),
         _place=F.regexp_extract("_post", lexicon.CARD_LOCATION, 0),
-        _city=_trim_commas(strip(F.regexp_extract("_post", lexicon.CARD_LOCATION, 1))),
         _words=F.filter(F.split("_pre", " "), lambda w: w != ""),
     )
+    step = step.withColumns({
+        "_mode_end": F.when(F.col("_mode") == "", 0).otherwise(F.col("_before_mode") + F.length("_mode")),
+        "_city": _trim_commas(strip(F.regexp_extract("_place", lexicon.CARD_LOCATION, 1))),
+    })
     place_end = F.when(
         F.col("_place") != "", F.instr("_post", F.col("_place")) - 1 + F.length("_place")
     ).otherwise(F.lit(0))

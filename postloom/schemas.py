@@ -20,11 +20,6 @@ POSTING_WIRE = _struct(
 )
 
 # One posting inside a job.
-POSTING = _struct(
-    ("company", _s), ("role", _s), ("source", _s), ("url", _s),
-    ("stack", T.ArrayType(_s)), ("product", _s), ("location", _s), ("posted_at", _s),
-)
-
 JOB = _struct(
     ("id", _s), ("company", _s), ("role", _s), ("source", _s), ("url", _s),
     ("stack", T.ArrayType(_s)), ("product", _s), ("location", _s),
@@ -52,8 +47,6 @@ EXPORT_COLUMNS = (
 
 # Allowed states.
 JOB_STATUSES = ("new", "applied", "ignored")
-CONTACT_STATES = ("verified", "unverified", "invalid")
-EMAIL_STATUSES = ("draft", "sent", "replied")
 EMAIL_TEMPLATES = ("cold_outreach", "recruiter_outreach", "referral_outreach", "followup")
 SORT_ORDERS = ("latest", "oldest")
 

@@ -56,6 +56,18 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held once in the JVM and once in Python.
+ARROW_ROWS, ARROW_BYTES = 500, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` for a function that reads whole texts or packs: its session sends small Arrow batches from now on."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
 def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a written table of at most ``most`` slim rows; leave larger ones to a shuffle."""
     return F.broadcast(df) if df.count() <= most else df

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import few, keyed, materialise, on_key, query, table
+from postloom.llm.common import few, keyed, materialise, on_key, query, small_batches, table
 from postloom.llm.components import components
 from postloom.llm.shingles import WordCodes, shingle_set
 
@@ -38,9 +38,11 @@ PERCENT = 75
 #: Part of the code space whose tokens bound a set before its other tokens are looked at.
 LOW_PART = 0.35
 #: Tokens of one range of the code space, members and tokens of one group, tokens of a group's queries in a task.
-RANGE_TOKENS = 1_000_000
+RANGE_TOKENS = 500_000
 GROUP_SETS, GROUP_TOKENS = 2048, 1_000_000
-QUERY_TOKENS = 4_000_000
+QUERY_TOKENS = 2_000_000
+#: Rows that leave a task together.
+ROWS = 500
 #: Tokens in more sets than this are ordered last; at most FREQUENT_MOST tokens are (the rate rises with the data).
 FREQUENT, FREQUENT_MOST = 256, 500_000
 
@@ -85,7 +87,7 @@ def _low(data: bytes) -> np.ndarray:
 
 def _read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, top = WordCodes(), np.uint64(LOW_PART * 2**64)
-    for batch in batches:
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         rows = []
         for uid, doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
             tokens = shingle_set(text.as_py(), codes)
@@ -98,13 +100,13 @@ def _read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_sets(docs: DataFrame) -> DataFrame:
     """uid, doc_id, text_hash, n, class of equal sets and the tokens of the lowest codes, written once."""
-    rows = docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.xxhash64("text"), "text")
+    rows = small_batches(docs).select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.xxhash64("text"), "text")
     return materialise(rows.mapInArrow(_read_sets, _ddl(_SETS)), "jaccard-sets")
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = WordCodes()
-    for batch in batches:
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         tokens = [shingle_set(text.as_py(), codes) for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(x) for x in tokens], pa.int64()),
@@ -153,7 +155,7 @@ def _spread(ranges: int, counters: int, read):
                     cls.append(c)
                     tokens.append(t)
                     size += len(t)
-                if size > 16_000_000 or len(cls) == 2**16:
+                if size > 8_000_000 or len(cls) == 2**16:
                     yield from emit(cls, tokens)
                     cls, tokens, size = [], [], 0
         if size:
@@ -284,7 +286,7 @@ def _matrix_rows(ranges: int, often: np.ndarray, places: int):
                 for x, y in zip(held, (tokens[:n - least_shared(n) + max(1, n // 2)], cls, grp, least_hits(n)), strict=True):
                     x.append(y)
                 size += n
-                if size > 2_000_000 or len(held[1]) == 2**16:
+                if size > 1_000_000 or len(held[1]) == 2**16:
                     yield from emit(*held)
                     held, size = ([], [], [], []), 0
         if size:
@@ -323,7 +325,7 @@ def _meetings(group: pa.Table) -> pa.Table:
     start = np.searchsorted(holder, np.arange(len(often) + 1))
     many = (start[1:] - start[:-1])[token]
     found = []
-    bounds = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + 1, 4_000_000)) if len(many) else []
+    bounds = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + 1, 1_000_000)) if len(many) else []
     for s, e in zip(bounds, [*bounds[1:], len(many)], strict=True):
         rep = many[s:e]
         at = np.repeat(start[token[s:e]] - np.r_[0, np.cumsum(rep)[:-1]], rep) + np.arange(rep.sum())

@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import materialise, query, table
+from postloom.llm.common import materialise, query, small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK = 65536, 16384
 #: Parts and pairs whose solutions a task keeps at a time; rows sent on together.
-KEPT_PARTS, KEPT_PAIRS, ROWS = 400_000, 400_000, 512
+KEPT_PARTS, KEPT_PAIRS, ROWS = 100_000, 150_000, 128
 SPACE = "▁"
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -480,7 +480,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
     """
     data = Path(model).read_bytes()
     edge = 2 * Pieces(data).longest
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > giant
     short = texts.filter(~long).mapInArrow(_encode_short(data, check), _ENCODED)
     chunks = _chunk_rows(texts.filter(long), chunk, edge)

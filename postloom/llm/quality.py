@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import few, keyed, materialise, on_key, query, table
+from postloom.llm.common import few, keyed, materialise, on_key, query, small_batches, table
 
 THRESHOLD = 0.7
 HELD_OUT = 2
@@ -83,7 +83,7 @@ def _read_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of every whole text, written once."""
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+    return materialise(small_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         _read_statistics, _DDL), "quality-statistics")
 
 

@@ -7,7 +7,7 @@ import xxhash
 
 WIDTH = 5
 #: Words whose codes a task keeps at a time.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 

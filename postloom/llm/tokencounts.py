@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import materialise, query, table
+from postloom.llm.common import materialise, query, small_batches, table
 from postloom.session import shared_dir
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -56,7 +56,7 @@ def counted(docs: DataFrame, ranks: str = RANKS, version: str = VERSION) -> Data
                 [*(batch.column(c) for c in ("doc_id", "text_hash", "source", "lang", "n_bytes")), pa.array(n, pa.int64())],
                 names=["doc_id", "text_hash", "source", "lang", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string"),
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string"),
                        F.col("lang").cast("string"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return materialise(rows.mapInArrow(run, "doc_id long, text_hash long, source string, lang string, n_bytes long, n_tokens long")
                        .withColumn("tokenizer", F.lit(version)), "token-counts")

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import materialise
+from postloom.llm.common import materialise, small_batches
 
 SHARD_ROWS = 4096
 PACK_ROWS = 2048
@@ -97,7 +97,7 @@ def search_pairs(met: DataFrame, search: Search, score: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), kind), strict=True)],
                                                  names=["query_id", "vec_id", "score"])
 
-    return met.mapInArrow(run, f"query_id long, vec_id long, score {score}")
+    return small_batches(met).mapInArrow(run, f"query_id long, vec_id long, score {score}")
 
 
 def ranked(found: DataFrame, k: int, best: Column) -> DataFrame:

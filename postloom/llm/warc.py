@@ -44,7 +44,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from postloom.llm.common import few, materialise, query, table
+from postloom.llm.common import few, materialise, query, small_batches, table
 from postloom.session import shared_dir
 
 SCHEMA = ("record_id string, record_type string, target_uri string, record_date string, payload_digest string, "
@@ -369,7 +369,7 @@ def record_decisions(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     is broadcast after it has been counted.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    hashed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"),
+    hashed = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"),
                           F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_length"))
     twice = hashed.filter(F.col("payload_length") >= least).groupBy("payload_digest").agg(
         F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND keeper IS NOT NULL")

@@ -512,7 +512,25 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     return single.unionByName(once).select("row.*")
 
 
-@query("op9_jaccard_join")
+_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * o >= 75 * (s.n + t.n - o)),
+reach AS (SELECT x AS a, x AS b FROM links UNION SELECT a, y FROM reach JOIN links ON b = x),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, coalesce(least.component_id, d.doc_id) AS component_id,
+       coalesce(degree.n_links, 0) AS n_links
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id LEFT JOIN degree ON degree.x = d.doc_id"""
+
+
+@query("op9_jaccard_join", _SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under shingle Jaccard of at least 0.75."""
     return jaccard_join(table(spark, sf_dir, "documents"))

@@ -105,7 +105,15 @@ def quantised(vectors: DataFrame) -> DataFrame:
         F.transform("embedding", lambda x: F.floor(SCALE * x.cast("double")).cast("double")).alias("vector"))
 
 
-@query("op3_exact_topk")
+@query("op3_exact_topk", """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest scores of every 50th vector against all others."""
     rows = quantised(table(spark, sf_dir, "embeddings"))

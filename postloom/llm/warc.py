@@ -386,7 +386,13 @@ def record_decisions(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         F.when(revisit, name("keeper")).alias("refers_to"), "payload_length", F.when(~revisit, F.col("payload")).alias("payload"))
 
 
-@query("op10_warc")
+@query("op10_warc", """
+WITH sized AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+kept AS (SELECT digest, max(page_id) AS keeper FROM sized WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, sized.digest AS payload_digest,
+       CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM sized LEFT JOIN kept ON sized.digest = kept.digest AND n >= 1000""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back, each stored payload checked against its headers."""
     register(spark)

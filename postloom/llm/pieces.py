@@ -38,7 +38,7 @@ from postloom.llm.common import materialise, query, small_batches, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK = 65536, 16384
 #: Parts and pairs whose solutions a task keeps at a time; rows sent on together.
-KEPT_PARTS, KEPT_PAIRS, ROWS = 100_000, 150_000, 128
+KEPT_PARTS, KEPT_PAIRS, ROWS = 300_000, 300_000, 128
 SPACE = "▁"
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 

@@ -3,7 +3,8 @@
 Hosts are linked by the links of their pages and, more weakly, with their parent domain. Trust starts at hosts
 with pages that a rule allows and follows links; distrust starts at hosts with pages that a rule blocks and follows
 links backwards (who links to blocked hosts is suspect). Both are personalised PageRank series of a fixed number
-of terms. A host is blocked if its distrust exceeds its trust by ``margin`` (rounding alone decides nothing).
+of terms. A host is blocked if its distrust exceeds its trust by a share ``margin`` of both (rounding alone decides
+nothing, and neither does the size of the table: any distrust blocks a host that no trust reaches).
 
 Cases: a url that is null or has no ``://`` has empty host and path, meets no rule and is judged like the empty host
 (allowed: it has no links); hosts without any score are allowed; repeated rows are judged one by one; without pages
@@ -98,8 +99,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, margin:
     def of(kind: str) -> Column:
         return F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
 
-    blocked = few(materialise(scores.groupBy("host").agg((of("distrust") - of("trust")).alias("excess")).filter(
-        F.col("excess") > margin).select("host", F.lit(True).alias("bad")), "url-blocked"))
+    blocked = few(materialise(scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")).filter(
+        F.col("distrust") - F.col("trust") > margin * (F.col("distrust") + F.col("trust"))).select("host", F.lit(True).alias("bad")), "url-blocked"))
     return ruled.join(blocked, "host", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))

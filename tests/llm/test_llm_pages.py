@@ -157,6 +157,16 @@ def test_verdicts_of_odd_pages(spark):
     assert urlgraph.judge(pages(spark, [])).collect() == []
 
 
+def test_verdicts_do_not_depend_on_other_pages(spark):
+    near = '<a href="http://y.com/">'
+    rows = [(1, "http://y.com/de/", None), (2, "http://quiet.net/", near), (3, "http://loud.net/", near * 20_000), (4, "http://alone.net/", None)]
+    more = [(i, f"http://z.com/de/{i}", None) for i in range(10, 20_010)]
+    want = {1: "block", 2: "block", 3: "block", 4: "allow"}
+    for beside in ([], more):
+        got = urlgraph.judge(pages(spark, rows + beside)).filter("page_id < 10").collect()
+        assert {r["page_id"]: r["verdict"] for r in got} == want
+
+
 def test_verdicts_of_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
     assert Counter(map(tuple, QUERIES["op8_url_filters"](spark, SF).collect())) == brute_verdicts(rows)

@@ -2,8 +2,8 @@
 
 Hosts are linked by the links of their pages and, more weakly, with their parent domain. Trust starts at hosts
 with pages that a rule allows and follows links; distrust starts at hosts with pages that a rule blocks and follows
-links backwards (who links to blocked hosts is suspect). Both are personalised PageRank series of a fixed number
-of terms. A host is blocked if its distrust exceeds its trust by a share ``margin`` of both (rounding alone decides
+links backwards (who links to blocked hosts is suspect). Both are personalised PageRank series, continued until the terms
+left cannot change a verdict, however far a host is from the seeds. A host is blocked if its distrust exceeds its trust by a share ``margin`` of both (rounding alone decides
 nothing, and neither does the size of the table: any distrust blocks a host that no trust reaches).
 
 Cases: a url that is null or has no ``://`` has empty host and path, meets no rule and is judged like the empty host
@@ -20,6 +20,7 @@ from postloom.llm.common import few, materialise, query, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
+#: Terms before the first look at what the series still lacks, and terms between two written tables.
 TERMS = 12
 ROUND = 4
 PARENT_WEIGHT = 0.25
@@ -66,26 +67,58 @@ def host_edges(pages: DataFrame, parent_weight: float = PARENT_WEIGHT) -> DataFr
         "src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, terms: int = TERMS) -> DataFrame:
+def _blocked(trust: Column, distrust: Column, margin: float) -> Column:
+    return distrust - trust > margin * (distrust + trust)
+
+
+def _per_host(scores: DataFrame) -> DataFrame:
+    def of(kind: str) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
+
+    return scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
+
+
+def _settled(ranks: DataFrame, terms: int, margin: float) -> bool:
+    """Whether the terms left out can change no verdict.
+
+    If the last of n + 1 terms is at most a share e of the sum at every host, all later terms together are at most
+    (n + 1) * e of the whole series at every host, as each comes from earlier ones by the same nonnegative step.
+    A host that the last term has reached for the first time has e = 1, so nothing is settled before all are reached.
+    """
+    last = ranks.agg(F.max(F.col("term") / F.col("score")).alias("share")).first()["share"] or 0.0
+    left = (terms + 1) * last
+    if left <= margin or left >= 1:
+        return left <= margin
+    sums, most = _per_host(ranks), 1 / (1 - left)
+    surely = _blocked(F.col("trust") * most, F.col("distrust"), margin)
+    maybe = _blocked(F.col("trust"), F.col("distrust") * most, margin)
+    return sums.filter(maybe & ~surely).isEmpty()
+
+
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, terms: int = TERMS, margin: float = MARGIN) -> DataFrame:
     """(kind, host, score): personalised PageRank of both kinds, from ``seeds(kind, host, mass)``.
 
     Kind ``trust`` follows the edges, kind ``distrust`` their reverse. Mass that reaches a host without edges
-    ends there. Each term is one join with the edges and one sum; every few terms are written.
+    ends there. Each term is one join with the edges and one sum; every few terms are written. After ``terms``
+    terms the series goes on until no verdict at ``margin`` is open, or all scores are within ``margin`` of their limit.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     total = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     moves = materialise(both.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst",
                                                                  (F.col("weight") / F.col("total")).alias("part")), "url-moves")
-    start = seeds.withColumn("score", F.col("mass") * (1 - damping)).select("kind", "host", "score")
-    ranks = start
-    for term in range(1, terms + 1):
-        moved = ranks.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"),
-                                                           (F.col("score") * F.col("part") * damping).alias("score"))
-        ranks = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if term % ROUND == 0 or term == terms:
+    ranks = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score")).withColumn("term", F.col("score"))
+    done = 0
+    while True:
+        step = (F.col("term") * F.col("part") * damping).alias("term")
+        moved = ranks.filter("term > 0").join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), step)
+        ranks = ranks.withColumn("term", F.lit(0.0)).unionByName(moved.withColumn("score", F.col("term"))).groupBy("kind", "host").agg(
+            F.sum("score").alias("score"), F.sum("term").alias("term"))
+        done += 1
+        if done % ROUND == 0:
             ranks = materialise(ranks, "url-ranks")
-    return ranks
+            if done >= terms and _settled(ranks, done, margin):
+                return ranks.drop("term")
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, margin: float = MARGIN) -> DataFrame:
@@ -95,12 +128,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, margin:
         F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
     sums = per_host.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = materialise(per_host.join(sums, "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("mass")), "url-seeds")
-    scores = spread(host_edges(pages), seeds)
-    def of(kind: str) -> Column:
-        return F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
-
-    blocked = few(materialise(scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")).filter(
-        F.col("distrust") - F.col("trust") > margin * (F.col("distrust") + F.col("trust"))).select("host", F.lit(True).alias("bad")), "url-blocked"))
+    scores = spread(host_edges(pages), seeds, margin=margin)
+    blocked = few(materialise(_per_host(scores).filter(_blocked(F.col("trust"), F.col("distrust"), margin)).select(
+        "host", F.lit(True).alias("bad")), "url-blocked"))
     return ruled.join(blocked, "host", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))

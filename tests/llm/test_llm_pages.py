@@ -167,6 +167,18 @@ def test_verdicts_do_not_depend_on_other_pages(spark):
         assert {r["page_id"]: r["verdict"] for r in got} == want
 
 
+def test_verdicts_far_from_the_seeds(spark):
+    def link(host):
+        return f'<a href="http://{host}/">'
+
+    far = [(i, f"http://h{i}.net/", link(f"h{i - 1}.net" if i > 1 else "y.com")) for i in range(1, 31)]
+    good = [(100 + i, f"http://g{i}.net/" if i else "http://good.com/fr/", link(f"g{i + 1}.net" if i < 20 else "mixed.net")) for i in range(21)]
+    rows = [(0, "http://y.com/de/", None), (200, "http://mixed.net/", link("y.com")), (201, "http://loud.net/", link("y.com") * 3000), *far, *good]
+    verdict = {r["page_id"]: r["verdict"] for r in urlgraph.judge(pages(spark, rows)).collect()}
+    assert all(verdict[i] == "block" for i in range(31)) and verdict[201] == "block"
+    assert all(verdict[100 + i] == "allow" for i in range(21)) and verdict[200] == "allow"
+
+
 def test_verdicts_of_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
     assert Counter(map(tuple, QUERIES["op8_url_filters"](spark, SF).collect())) == brute_verdicts(rows)

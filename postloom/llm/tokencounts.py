@@ -59,7 +59,7 @@ def counted(docs: DataFrame, ranks: str = RANKS, version: str = VERSION) -> Data
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string"),
                        F.col("lang").cast("string"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return materialise(rows.mapInArrow(run, "doc_id long, text_hash long, source string, lang string, n_bytes long, n_tokens long")
-                       .withColumn("tokenizer", F.lit(version)), "token-counts")
+                       .withColumn("tokenizer", F.lit(version)).withColumn("row", F.monotonically_increasing_id()), "token-counts")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -113,7 +113,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of distinct texts by source, language and tokenizer version, kept by three batches.
 
     The first inserts every document with an estimate (a quarter of its bytes), the second revises each to its
-    real count, the third deletes every further copy of a text; the second is sent twice.
+    real count, the third deletes every further copy of a text, also rows with the same id or none; the second is sent twice.
     """
     docs = counted(table(spark, sf_dir, "documents"))
     path = shared_dir(spark, "token-rollup")
@@ -122,8 +122,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_batch(docs.select(F.lit("insert").alias("op"), *keys, guess.alias("n_tokens"), F.lit(None).cast("long").alias("old_tokens")), path, "b1")
     revised = docs.select(F.lit("revise").alias("op"), *keys, "n_tokens", guess.alias("old_tokens"))
     apply_batch(revised, path, "b2")
-    first = docs.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"))
-    copies = docs.join(first, "text_hash").filter(~F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
+    first = docs.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    copies = docs.join(first, "text_hash").filter(F.col("first.row") != F.col("row"))
     apply_batch(copies.select(F.lit("delete").alias("op"), *keys, "n_tokens", F.lit(None).cast("long").alias("old_tokens")), path, "b3")
     apply_batch(revised, path, "b2")
     return totals(spark, path)

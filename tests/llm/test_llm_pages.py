@@ -198,6 +198,14 @@ def test_rollup_of_the_table(spark):
     assert {(r["source"], r["lang"]): [r["docs"], r["tokens"]] for r in got} == dict(want)
 
 
+def test_rollup_counts_repeated_rows_once(spark, tmp_path):
+    rows = [(1, "same text", "a"), (1, "same text", "a"), (None, "no id", "b"), (None, "no id", "b"), (2, "no id either", "c"), (3, "no id either", "d")]
+    spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = QUERIES["op7_token_counts"](spark, str(tmp_path)).collect()
+    assert {r["source"]: r["docs"] for r in got} == {"a": 1, "b": 1, "c": 1}
+
+
 def test_rollup_batches(spark, odd, nothing, tmp_path):
     docs = tokencounts.counted(odd)
     assert {(r["doc_id"], r["n_tokens"] > 0) for r in docs.collect()} == {(i, bool(t)) for i, t, *_ in odd_rows()}

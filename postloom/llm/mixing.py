@@ -160,12 +160,25 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...
 def repeated(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them: whole texts, to the nearest number of times.
 
-    Only the last document of a source's target is taken in part. Equal rows share what is taken of them.
+    Only the last document of a source's target is taken in part. Equal rows of a source share what is taken of them:
+    as many whole texts as that gives, one more for some rows than for others. Only then do equal rows meet in a task.
     """
-    times = materialise(mix(docs).filter("size > 0").groupBy("doc_id", "text_hash").agg(
-        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("times")).filter("times > 0"), "mix-times")
-    rows, times = keyed(docs), few(times)
-    return rows.join(times, on_key(rows, times)).select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+    times = materialise(mix(docs).filter("size > 0").groupBy("doc_id", "text_hash", "source").agg(
+        F.round(F.sum("taken") / F.first("size")).cast("long").alias("all"), F.count(F.lit(1)).alias("copies")).filter(
+        "all > 0"), "mix-times")
+    rows = keyed(docs)
+
+    def taken(shares: DataFrame) -> DataFrame:
+        shares = few(shares)
+        return rows.join(shares, on_key(rows, shares) & F.col("row.source").eqNullSafe(shares["source"]))
+
+    even, uneven = times.filter("all % copies = 0"), times.filter("all % copies > 0")
+    counted = taken(even).select("row", F.expr("all div copies").alias("times"))
+    if not uneven.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("key_id", "key_text", F.col("row.source")).orderBy("key_id"))
+        numbered = taken(uneven).select("row", F.expr("all div copies").alias("times"), F.expr("all % copies").alias("more"), nth.alias("nth"))
+        counted = counted.unionByName(numbered.select("row", (F.col("times") + F.when(F.col("nth") <= F.col("more"), 1).otherwise(0)).alias("times")))
+    return counted.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
 
 
 @query("op4_mixing")

@@ -105,6 +105,14 @@ def test_mix_repeats_rows(odd, nothing):
     assert mixing.repeated(nothing).collect() == []
 
 
+def test_mix_shares_repeats_among_equal_rows(spark):
+    docs = [(1, "five words are in here", "a")] * 400 + [(2, "five words are in there", "b")] * 1000
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    target = {r["source"]: r["target"] / 5 for r in mixing.mix(df).select("source", "target").distinct().collect()}
+    got = Counter(r["source"] for r in mixing.repeated(df).collect())
+    assert all(abs(got[s] - t) <= 1 for s, t in target.items())
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}

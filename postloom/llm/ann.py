@@ -10,7 +10,7 @@ Every row is indexed. On evenly spread vectors of 64 dimensions the 10 nearest l
 is why the radius is wide; recall is measured in tests.
 
 Cases: vectors that are null, zero or hold null or non-finite components, and rows without id, take no part; rows that
-repeat a query's id are its own; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
+repeat a query's id are its own, and the smallest of their vectors is asked; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     it is searched again with every code, so that fewer come back only if there are fewer rows.
     """
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
-    width, asked = max(1, size["width"]), queries.dropDuplicates(["vec_id"])
+    width, asked = max(1, size["width"]), queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
     held = np.zeros((max(1, len(sample)), width))
     for i, r in enumerate(sample):

@@ -6,7 +6,8 @@ a query the sum over terms of the larger product bounds every score in the block
 highest bound down, until no bound reaches the query's k-th score.
 
 Cases: vectors that are null or hold null or non-finite components, and rows without id, take no part; an empty
-vector scores 0 with every other; rows that repeat a query's id are its own; ties go to the smaller id; an
+vector scores 0 with every other; rows that repeat a query's id are its own, and the smallest of their vectors is
+asked; ties go to the smaller id; an
 empty table gives no rows; other columns are ignored. A score outside 64 bits raises.
 """
 
@@ -89,7 +90,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ``rows`` and ``queries`` have vec_id and vector (whole numbers as doubles).
     """
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
-    asked = queries.dropDuplicates(["vec_id"])
+    asked = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     weight = F.transform("vector", lambda x, i: F.struct(F.abs(x).alias("w"), (2 * i + F.when(x < 0, 1).otherwise(0)).alias("term")))
     heavy = F.sort_array(weight, asc=False)
     keyed = rows.withColumn("first", F.get(heavy, 0)["term"]).withColumn("second", F.get(heavy, 1)["term"])

@@ -83,5 +83,14 @@ def test_odd_vectors(spark):
     assert ann.nearest(ann.usable(none), ann.usable(none), 3).collect() == []
 
 
+def test_smallest_vector_of_a_query_id_is_asked(spark):
+    rows = [(0, [9.0, 9.0]), (0, [1.0, 5.0]), (0, [1.0, 2.0]), (0, [5.0, 1.0]), (1, [1.0, 2.5]), (2, [9.0, 8.0])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, vector array<double>").coalesce(1)
+        asked = df.filter("vec_id = 0")
+        assert [r["score"] for r in topk.top_k(df.filter("vec_id = 2"), asked, 1).collect()] == [25]
+        assert [(r["vec_id"], r["score"]) for r in ann.nearest(df, asked, 1).collect()] == [(1, 0.5)]
+
+
 def test_queries_run_on_the_small_table(spark):
     assert QUERIES["op3_exact_topk"](spark, SF).count() == 50 and QUERIES["op6_approximate_neighbours"](spark, SF).count() == 50

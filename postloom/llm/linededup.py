@@ -10,7 +10,7 @@ A text is cleaned in two steps. The filters say which of its lines may be freque
 without such a line are finished there and never shuffled. The lines left are checked against the exact counts, so a false
 positive drops nothing.
 
-A key is the line without white space ``[\\x20\\x09-\\x0D]`` at both ends, with A-Z in lower case, as two 64-bit hashes; keys of
+A key is the line without white space ``[\\x20\\x09-\\x0D]`` at both ends, with A-Z in lower case, as a hash of 128 bits; keys of
 fewer than ``min_chars`` code points are never counted or dropped. A document counts once per key, however often it
 repeats the line.
 
@@ -25,12 +25,13 @@ table gives an index without keys and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.common import BROADCAST_ROWS, materialise, query, small_batches, table
@@ -48,8 +49,8 @@ SLOTS = 4
 KICKS = 500
 #: Share of the slots that may be used.
 FULL = 0.8
-_SPACE = " \t\n\x0b\x0c\r"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACE = b" \t\n\x0b\x0c\r"
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _COUNTS = "k1 long, k2 long, n_docs long"
 _FILTERS = "shard int, n_keys long, filter binary, shards int"
 
@@ -146,21 +147,31 @@ class Cuckoo:
 
 # --------------------------------------------------------------------------------------------------- line keys
 
-def line_keys(text: Column, min_chars: int = MIN_CHARS) -> Column:
-    """Per line of a text its key (k1, k2), null where it is too short."""
+def line_keys(text: bytes, min_chars: int = MIN_CHARS) -> list[bytes]:
+    """Per line of a text its key of 16 bytes, empty where the line is too short."""
+    keys = []
+    for line in text.translate(_FOLD).split(b"\n"):
+        bare = line.strip(_SPACE)
+        chars = len(bare) if min_chars < 2 else len(bare.decode("utf-8", "replace"))
+        keys.append(hashlib.blake2b(bare, digest_size=16).digest() if chars >= min_chars else b"")
+    return keys
 
-    def key(line: Column) -> Column:
-        bare = F.translate(F.trim(line, F.lit(_SPACE)), _UPPER, _LOWER)
-        return F.when(F.char_length(bare) >= min_chars, F.struct(
-            F.xxhash64(bare).alias("k1"), F.xxhash64(F.lit("line"), bare).alias("k2")))
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), key)
+def _numbers(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def change(docs: DataFrame, sign: int, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k1, k2, n_docs): how many documents hold each key, times ``sign``; summed before the shuffle."""
-    keys = docs.select(F.explode(F.array_distinct(line_keys(F.col("text"), min_chars))).alias("key")).filter("key IS NOT NULL")
-    return keys.groupBy("key.k1", "key.k2").agg((F.count(F.lit(1)) * sign).cast("long").alias("n_docs")).select("k1", "k2", "n_docs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [key for text in batch.column(0).cast(pa.binary()) for key in set(line_keys(text.as_py() or b"", min_chars)) if key]
+            yield pa.RecordBatch.from_arrays([pa.array(k) for k in _numbers(held)], names=["k1", "k2"])
+
+    keys = small_batches(docs.select("text")).mapInArrow(run, "k1 long, k2 long")
+    return keys.groupBy("k1", "k2").agg((F.count(F.lit(1)) * sign).cast("long").alias("n_docs"))
 
 
 # ------------------------------------------------------------------------------------------------------- index
@@ -243,7 +254,7 @@ class LineIndex:
         """A mapInArrow function that numbers texts and adds to each the lines that the filters do not rule out."""
         held = self.filters(version)
         size = held.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0)).alias("bytes"), F.coalesce(F.first("shards"), F.lit(SHARDS)).alias("n")).first()
-        shards, shared = size["n"], None
+        shards, shared, min_chars = size["n"], None, self.min_chars
         if size["bytes"] <= FILTER_BYTES:
             shared = self.spark.sparkContext.broadcast({r["shard"]: r["filter"] for r in held.select("shard", "filter").collect()})
 
@@ -251,36 +262,37 @@ class LineIndex:
             filters = None if shared is None else {s: Cuckoo.read(b) for s, b in shared.value.items()}
             number = TaskContext.get().partitionId() << 33
             for batch in batches:
-                offsets, keys = batch.column(2).offsets.to_numpy(), batch.column(2).flatten()
-                maybe = np.asarray(keys.is_valid())
-                values = keys.fill_null(0).to_numpy()
+                lines = [line_keys(text.as_py() or b"", min_chars) for text in batch.column(1).cast(pa.binary())]
+                cuts = np.r_[0, np.cumsum([len(x) for x in lines], dtype=np.int64)]
+                there = np.array([len(key) > 0 for x in lines for key in x], bool)
+                k1, k2 = _numbers([key for x in lines for key in x])
+                maybe = np.ones(len(k1), bool)
                 if filters is not None:
-                    shard = np.where(maybe, values % shards, -1)
-                    for s in np.unique(shard[maybe]).tolist():
-                        at = np.flatnonzero(shard == s)
-                        maybe[at] = filters[s].holds(values[at]) if s in filters else False
-                at = np.flatnonzero(maybe)
-                cuts = np.searchsorted(at, offsets)
-                place = at - np.repeat(offsets[:-1], np.diff(cuts))
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(place, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(range(number, number + len(lists)), pa.int64()), lists],
-                                                 names=["doc_id", "text", "row", "maybe"])
-                number += len(lists)
+                    shard = k1 % shards
+                    for s in np.unique(shard).tolist():
+                        of = np.flatnonzero(shard == s)
+                        maybe[of] = filters[s].holds(k1[of]) if s in filters else False
+                at = np.flatnonzero(there)[maybe]
+                lists = np.searchsorted(at, cuts)
+                place = at - np.repeat(cuts[:-1], np.diff(lists))
+                fields = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(k1[maybe]), pa.array(k2[maybe])], names=["line", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(range(number, number + len(lines)), pa.int64()), pa.array(np.diff(cuts)),
+                     pa.ListArray.from_arrays(pa.array(lists, pa.int32()), fields)], names=["doc_id", "text", "row", "n_lines", "maybe"])
+                number += len(lines)
 
         return run
 
     def cleaned(self, docs: DataFrame, version: int | None = None) -> DataFrame:
         """doc_id, text without its frequent lines, n_lines (before) and n_dropped of each row of ``docs(doc_id, text)``."""
         version = self.version() if version is None else version
-        keys = line_keys(F.col("text"), self.min_chars)
-        rows = docs.select(F.col("doc_id").cast("long"), "text", F.transform(keys, lambda k: k["k1"]).alias("keys"))
+        rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
         # written once: texts with a possibly frequent line and texts without part ways here
-        probed = materialise(small_batches(rows).mapInArrow(self._probe(version), "doc_id long, text string, row long, maybe array<int>"), "lines-probed")
-        whole = probed.filter("size(maybe) = 0").select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                                                        n_lines(F.col("text")).alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+        probed = materialise(small_batches(rows).mapInArrow(self._probe(version), (
+            "doc_id long, text string, row long, n_lines long, maybe array<struct<line: int, k1: long, k2: long>>")), "lines-probed")
+        whole = probed.filter("size(maybe) = 0").select("doc_id", "text", "n_lines", F.lit(0).cast("long").alias("n_dropped"))
         suspect = probed.filter("size(maybe) > 0")
-        line = F.transform("maybe", lambda i: F.struct(i.alias("line"), F.get("keys", i).alias("key")))
-        lines = suspect.select("row", keys.alias("keys"), "maybe").select("row", F.explode(line).alias("x")).select("row", "x.line", "x.key.k1", "x.key.k2")
+        lines = suspect.select("row", F.inline("maybe"))
         frequent = self.counts(version).filter(F.col("n_docs") >= self.min_docs).select("k1", "k2")
         if frequent.count() <= BROADCAST_ROWS:
             sure = lines.join(F.broadcast(frequent), ["k1", "k2"])
@@ -288,24 +300,20 @@ class LineIndex:
             salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             sure = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["k1", "k2", "salt"])
         drops = sure.groupBy("row").agg(F.collect_list("line").alias("drop"))  # at most the lines of one text
-        named = suspect.join(drops, "row", "left").select("doc_id", "text", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
+        named = suspect.join(drops, "row", "left").select("doc_id", "text", "n_lines", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
         return whole.unionByName(small_batches(named).mapInArrow(_without, "doc_id long, text string, n_lines long, n_dropped long"))
 
 
-def n_lines(text: Column) -> Column:
-    return (F.coalesce(F.regexp_count(text, F.lit("\n")), F.lit(0)) + 1).cast("long")
-
-
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the lines at the places ``drop``."""
     for batch in batches:
-        texts, counts, dropped = [], [], []
-        for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            lines, gone = (text or "").split("\n"), set(drop)
-            texts.append("\n".join(line for i, line in enumerate(lines) if i not in gone))
-            counts.append(len(lines))
+        texts, dropped = [], []
+        for text, drop in zip(batch.column(1).cast(pa.binary()), batch.column(3).to_pylist(), strict=True):
+            gone = set(drop)
+            texts.append(b"\n".join(line for i, line in enumerate(text.as_py().split(b"\n")) if i not in gone))
             dropped.append(len(gone))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())],
+        kept = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]), pa.py_buffer(b"".join(texts)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), kept.cast(pa.string()), batch.column(2), pa.array(dropped, pa.int64())],
                                          names=["doc_id", "text", "n_lines", "n_dropped"])
 
 

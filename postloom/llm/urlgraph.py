@@ -3,12 +3,13 @@
 Hosts are linked by the links of their pages and, more weakly, with their parent domain. Trust starts at hosts
 with pages that a rule allows and follows links; distrust starts at hosts with pages that a rule blocks and follows
 links backwards (who links to blocked hosts is suspect). Both are personalised PageRank series, continued until the terms
-left cannot change a verdict, however far a host is from the seeds. A host is blocked if its distrust exceeds its trust by a share ``margin`` of both (rounding alone decides
-nothing, and neither does the size of the table: any distrust blocks a host that no trust reaches).
+left cannot change a verdict, however far a host is from the seeds. A host is blocked if its distrust exceeds its trust by
+a share ``margin`` of both (rounding alone decides nothing, and neither does the size of the table: any distrust blocks a
+host that no trust reaches).
 
 Cases: a url that is null or has no ``://`` has empty host and path, meets no rule and is judged like the empty host
 (allowed: it has no links); hosts without any score are allowed; repeated rows are judged one by one; without pages
-there are no rows; null html has no links; other columns of the input are ignored.
+there are no rows; null html has no links; html of any length is searched whole; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ DAMPING = 0.85
 #: Terms before the first look at what the series still lacks, and terms between two written tables.
 TERMS = 12
 ROUND = 4
+#: Edges to a partition of a term.
+PART_EDGES = 500_000
 PARENT_WEIGHT = 0.25
 MARGIN = 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,47 +81,66 @@ def _per_host(scores: DataFrame) -> DataFrame:
     return scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
 
 
-def _settled(ranks: DataFrame, terms: int, margin: float) -> bool:
+def _settled(ranks: DataFrame, terms: int, damping: float, margin: float) -> bool:
     """Whether the terms left out can change no verdict.
 
-    If the last of n + 1 terms is at most a share e of the sum at every host, all later terms together are at most
-    (n + 1) * e of the whole series at every host, as each comes from earlier ones by the same nonnegative step.
-    A host that the last term has reached for the first time has e = 1, so nothing is settled before all are reached.
+    Two bounds hold for what a host still gets. If the last of n + 1 terms is at most a share e of the sum at every host, all
+    later terms together are at most (n + 1) * e of the whole series at every host, as each comes from earlier ones by the same
+    nonnegative step; a host that the last term has reached for the first time has e = 1. And no host gets more than all
+    the mass still under way, as a step keeps at most the damping of it.
     """
-    last = ranks.agg(F.max(F.col("term") / F.col("score")).alias("share")).first()["share"] or 0.0
-    left = (terms + 1) * last
-    if left <= margin or left >= 1:
+    last = {r["kind"]: r for r in ranks.groupBy("kind").agg(F.max(F.col("term") / F.col("score")).alias("share"), F.sum("term").alias("mass")).collect()}
+    share = max([0.0, *(r["share"] or 0.0 for r in last.values())])
+    left = (terms + 1) * share
+    if left <= margin or share > 1 - 1e-9:  # at a share of 1 some host has just been reached, others may follow
         return left <= margin
-    sums, most = _per_host(ranks), 1 / (1 - left)
-    surely = _blocked(F.col("trust") * most, F.col("distrust"), margin)
-    maybe = _blocked(F.col("trust"), F.col("distrust") * most, margin)
-    return sums.filter(maybe & ~surely).isEmpty()
+
+    def most(kind: str) -> Column:
+        by_mass = F.col(kind) + (last[kind]["mass"] if kind in last else 0.0) * damping / (1 - damping)
+        return F.least(F.col(kind) / (1 - left), by_mass) if left < 1 else by_mass
+
+    surely = _blocked(most("trust"), F.col("distrust"), margin)
+    maybe = _blocked(F.col("trust"), most("distrust"), margin)
+    return _per_host(ranks).filter(maybe & ~surely).isEmpty()
+
+
+def step(ranks: DataFrame, moves: DataFrame, damping: float) -> DataFrame:
+    """The next term. ``moves`` hold a row of each (kind, host) to itself, which keeps its score, so ranks are read once."""
+    sent = F.col("term") * F.col("part") * damping
+    return ranks.join(moves, ["kind", "host"]).filter(F.col("stays") | (sent > 0)).select(
+        "kind", F.col("dst").alias("host"), (F.when(F.col("stays"), F.col("score")).otherwise(0.0) + sent).alias("score"), sent.alias("term")).groupBy(
+        "kind", "host").agg(F.sum("score").alias("score"), F.sum("term").alias("term"))
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, terms: int = TERMS, margin: float = MARGIN) -> DataFrame:
     """(kind, host, score): personalised PageRank of both kinds, from ``seeds(kind, host, mass)``.
 
     Kind ``trust`` follows the edges, kind ``distrust`` their reverse. Mass that reaches a host without edges
-    ends there. Each term is one join with the edges and one sum; every few terms are written. After ``terms``
-    terms the series goes on until no verdict at ``margin`` is open, or all scores are within ``margin`` of their limit.
+    ends there. Each term is one join with the edges and one sum, in as many partitions as the counted edges need; every
+    few terms are written. After ``terms`` terms the series goes on until no verdict at ``margin`` is open, or all scores are
+    within ``margin`` of their limit.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     total = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    moves = materialise(both.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst",
-                                                                 (F.col("weight") / F.col("total")).alias("part")), "url-moves")
+    parts = both.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("part"), F.lit(False).alias("stays"))
+    hosts = both.select("kind", F.explode(F.array("src", "dst")).alias("host")).unionByName(seeds.select("kind", "host")).distinct()
+    moves = parts.unionByName(hosts.select("kind", "host", F.col("host").alias("dst"), F.lit(0.0).alias("part"), F.lit(True).alias("stays")))
+    moves = materialise(moves, "url-moves")
     ranks = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score")).withColumn("term", F.col("score"))
-    done = 0
-    while True:
-        step = (F.col("term") * F.col("part") * damping).alias("term")
-        moved = ranks.filter("term > 0").join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), step)
-        ranks = ranks.withColumn("term", F.lit(0.0)).unionByName(moved.withColumn("score", F.col("term"))).groupBy("kind", "host").agg(
-            F.sum("score").alias("score"), F.sum("term").alias("term"))
-        done += 1
-        if done % ROUND == 0:
+    conf = edges.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(1 + moves.count() // PART_EDGES))
+    try:
+        done = 0
+        while True:
+            for _ in range(ROUND):
+                ranks, done = step(ranks, moves, damping), done + 1
             ranks = materialise(ranks, "url-ranks")
-            if done >= terms and _settled(ranks, done, margin):
+            if done >= terms and _settled(ranks, done, damping, margin):
                 return ranks.drop("term")
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, margin: float = MARGIN) -> DataFrame:

@@ -134,14 +134,15 @@ def brute_verdicts(rows):
         for (a, _), w in moves.items():
             out[a] += w
         rank = {h: 0.15 * m for h, m in seeds.items()}
-        for _ in range(urlgraph.TERMS):
+        for _ in range(400):  # to convergence
             nxt = {h: (1 - urlgraph.DAMPING) * m for h, m in seeds.items()}
             for (a, b), w in moves.items():
                 if a in rank:
                     nxt[b] = nxt.get(b, 0) + urlgraph.DAMPING * rank[a] * w / out[a]
             rank = nxt
         score[kind] = rank
-    bad = {h for h in hosts if score["d"].get(h, 0) - score["t"].get(h, 0) > urlgraph.MARGIN}
+    both = {h: (score["d"].get(h, 0), score["t"].get(h, 0)) for h in hosts}
+    bad = {h for h, (d, t) in both.items() if d - t > urlgraph.MARGIN * (d + t)}
     return Counter((i, h, p, r, v or ("block" if h in bad else "allow")) for (i, *_), (h, p, r, v) in zip(rows, said, strict=True))
 
 

@@ -8,10 +8,11 @@ from postloom import lexicon, schemas
 from postloom.functions import dates
 from postloom.functions.vectors import cosine, match_tier
 from postloom.operators import contacts as people
-from postloom.operators import digest, matching, outreach, search, summary, tables
+from postloom.operators import digest, matching, outreach, runs, search, summary, tables
 from postloom.plans.catalog_sources import _NORM_SQL
 from postloom.plans.registry import query
 from postloom.plans.views import AS_OF, as_of, table, view
+from postloom.session import shared_dir
 
 
 def _sql_list(values) -> str:
@@ -662,3 +663,28 @@ def _run_log(spark, d):
         (F.col("event_id") % 5).alias("n"), F.lit(70).alias("jobs_before"), F.col("user_id").alias("jobs_after"),
         F.col("event_type").alias("context"), F.col("event_id").cast("string").alias("detail"),
     )
+
+
+@query("s6_run_summary_observed", f"""
+SELECT '2001-11-05' AS run_id, (SELECT count(*) FROM jobs WHERE created_at >= TIMESTAMP '1998-01-01') AS jobs_discovered,
+  (SELECT count(*) FROM contacts JOIN companies USING (company) WHERE verified <> 'invalid') AS contacts_found,
+  (SELECT count(*) FROM emails WHERE status = 'draft' AND template <> 'followup') AS emails_drafted,
+  (SELECT count(*) FROM emails WHERE status = 'sent' AND sent_text IS NOT NULL AND ok % 10 <> 0 AND ok % 6 <> 0
+     AND generated_at <= TIMESTAMP '{AS_OF}' - INTERVAL 900 DAY - CASE WHEN ok % 10 = 1 THEN INTERVAL '06:30:00' ELSE INTERVAL '00:00:00' END)
+    AS followups_drafted,
+  (SELECT count(*) FROM nation) AS digest_sent, (SELECT count(*) FROM companies) AS companies_processed, 1 AS errors""",
+       ["jobs", "contacts", "companies", "emails"])
+def _(spark, d):
+    """A whole run: each step counts its rows while it writes them; one step fails and is logged."""
+    base = shared_dir(spark, "run")
+    run = runs.Run(spark, base, "2001-11-05")
+    jobs, emails, contacts = (view(spark, d, n) for n in ("jobs", "emails", "contacts"))
+    run.write("scrape", lambda: jobs.where("created_at >= '1998-01-01'"), jobs_before=0)
+    asked = run.counted(view(spark, d, "companies").select("company"), "companies")
+    run.write("discover", lambda: contacts.where("verified <> 'invalid'").join(asked, "company"), companies="companies")
+    run.write("draft", lambda: emails.where("status = 'draft' AND template <> 'followup'"))
+    run.write("followup", lambda: digest.followups_due(emails, as_of(), days=900))
+    run.write("digest", lambda: table(spark, d, "nation").select(F.col("n_name").alias("recipient")))
+    run.write("draft_again", lambda: spark.read.parquet(f"{base}/no-such-table"), context="draft")
+    run.publish()
+    return runs.latest(spark, base)

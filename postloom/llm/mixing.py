@@ -4,7 +4,9 @@ Each source's documents are shuffled by hash into one stream of words, cut into
 ``n`` of the schedule takes the van der Corput point of ``n`` through the cumulative target shares and so
 names a source; the k-th slot of a source takes the k-th block of its stream, and the stream starts anew
 after its last block. The last slot of a source is cut where its target ends. Slots that a source lacks
-at the end of the schedule (a few, by the discrepancy of the points) follow after the others.
+at the end of the schedule (a few, by the discrepancy of the points) follow after the others. So the points decide where in
+the mix a document stands, and any first part of the mix holds the sources in their shares, up to the discrepancy; how much
+of a source the whole mix holds is fixed by its target.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
 never taken; repeated rows are documents of their own; an empty table gives no rows; other columns of the
@@ -129,43 +131,49 @@ def document_spans(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def taken_words(spans: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Words that the mix takes of each document: its overlap with every scheduled slot of its blocks.
+    """What the mix takes of each document: words (its overlap with every scheduled slot of its blocks), and the
+    first ``position`` in the schedule at which it is taken, in the stream's first lap and (``again``) in its second.
 
     The slots of a block are gathered first: a block has at most two, as no target is above twice its source.
     """
-    per_block = slots.groupBy("sid", "block").agg(F.sort_array(F.collect_list("upto")).alias("uptos"))
+    per_block = slots.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("position", "rank", "upto"))).alias("dealt"))
     last = F.expr(f"greatest(start, start + size - 1) div {block_words}")
     pieces = spans.withColumn("block", F.explode(F.sequence(F.expr(f"start div {block_words}"), last)))
     begin = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
     end = F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words))
-    words = F.aggregate("uptos", F.lit(0).cast("long"),
-                        lambda acc, upto: acc + F.greatest(F.least(end, upto) - begin, F.lit(0)))
-    return pieces.join(per_block, ["sid", "block"], "left").withColumn("words", F.coalesce(words, F.lit(0))).groupBy(
-        "sid", "bucket", "place").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"),
-                                      F.first("size").alias("size"),
-                                      F.sum("words").alias("taken"))
+
+    def words(slot: Column) -> Column:
+        return F.when(slot.isNotNull(), F.greatest(F.least(end, slot["upto"]) - begin, F.lit(0))).otherwise(0).cast("long")
+
+    one, two = F.get("dealt", 0), F.get("dealt", 1)
+    return pieces.join(per_block, ["sid", "block"], "left").select(
+        "sid", "bucket", "place", "doc_id", "text_hash", "size", (words(one) + words(two)).alias("words"),
+        F.when(words(one) > 0, one["position"]).alias("position"), F.when(words(two) > 0, two["position"]).alias("again")).groupBy(
+        "sid", "bucket", "place").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("size").alias("size"),
+                                      F.sum("words").alias("taken"), F.min("position").alias("position"), F.min("again").alias("again"))
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
         most: float = MOST) -> DataFrame:
-    """doc_id, text_hash, source, size, source_size, target and taken of each document."""
+    """doc_id, text_hash, source, size, source_size, target, taken, and position and again in the schedule, of each document."""
     sizes = materialise(sized(docs), "mix-sizes")
     targets = materialise(source_targets(sizes, weights, share, most).coalesce(1), "mix-targets")
     slots = schedule(stream_plan(targets, block_words), block_words)
     spans = materialise(document_spans(sizes, targets), "mix-spans")
     return taken_words(spans, slots, block_words).join(targets, "sid").select(
-        "doc_id", "text_hash", "source", "size", "source_size", "target", "taken")
+        "doc_id", "text_hash", "source", "size", "source_size", "target", "taken", "position", "again")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them: whole texts, to the nearest number of times.
+    """Rows of ``docs`` as often as the mix takes them (whole texts, to the nearest number of times), in the order of the mix.
 
     Only the last document of a source's target is taken in part. Equal rows of a source share what is taken of them:
     as many whole texts as that gives, one more for some rows than for others. Only then do equal rows meet in a task.
+    A document's second time stands where the second lap of its source reaches it.
     """
     times = materialise(mix(docs).filter("size > 0").groupBy("doc_id", "text_hash", "source").agg(
-        F.round(F.sum("taken") / F.first("size")).cast("long").alias("all"), F.count(F.lit(1)).alias("copies")).filter(
-        "all > 0"), "mix-times")
+        F.round(F.sum("taken") / F.first("size")).cast("long").alias("all"), F.count(F.lit(1)).alias("copies"),
+        F.min("position").alias("position"), F.min("again").alias("again")).filter("all > 0"), "mix-times")
     rows = keyed(docs)
 
     def taken(shares: DataFrame) -> DataFrame:
@@ -173,15 +181,18 @@ def repeated(docs: DataFrame) -> DataFrame:
         return rows.join(shares, on_key(rows, shares) & F.col("row.source").eqNullSafe(shares["source"]))
 
     even, uneven = times.filter("all % copies = 0"), times.filter("all % copies > 0")
-    counted = taken(even).select("row", F.expr("all div copies").alias("times"))
+    counted = taken(even).select("row", F.expr("all div copies").alias("times"), "position", "again")
     if not uneven.isEmpty():
         nth = F.row_number().over(Window.partitionBy("key_id", "key_text", F.col("row.source")).orderBy("key_id"))
-        numbered = taken(uneven).select("row", F.expr("all div copies").alias("times"), F.expr("all % copies").alias("more"), nth.alias("nth"))
-        counted = counted.unionByName(numbered.select("row", (F.col("times") + F.when(F.col("nth") <= F.col("more"), 1).otherwise(0)).alias("times")))
-    return counted.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
+        numbered = taken(uneven).select("row", F.expr("all div copies").alias("times"), F.expr("all % copies").alias("more"), nth.alias("nth"), "position", "again")
+        counted = counted.unionByName(numbered.select(
+            "row", (F.col("times") + F.when(F.col("nth") <= F.col("more"), 1).otherwise(0)).alias("times"), "position", "again"))
+    dealt = counted.filter("times > 0").select("row", "position", "again", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"))
+    at = F.when(F.col("time") == 1, F.col("position")).otherwise(F.coalesce("again", "position"))
+    return dealt.select("row", at.alias("at")).repartitionByRange("at", F.xxhash64("row.doc_id")).sortWithinPartitions("at").select("row.*")
 
 
 @query("op4_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to weights 3, 1, 2 and 150 % of all words."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "position")

@@ -198,3 +198,35 @@ def test_components_of_chains_and_hubs(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_the_schedule_decides_the_order_of_the_mix(spark, monkeypatch):
+    docs = spark.range(600).selectExpr("id AS doc_id", "repeat('w ', 50) AS text", "array('a', 'b', 'c')[id % 3] AS source")
+    rows = mixing.mix(docs, block_words=64).collect()
+    taken = [(r["position"], r["source"], r["size"]) for r in rows if r["taken"]] + [(r["again"], r["source"], r["size"]) for r in rows if r["again"] is not None]
+    assert all((r["position"] is not None) == (r["taken"] > 0) and (r["again"] is None or r["again"] > r["position"]) for r in rows)
+    taken.sort()
+    target = {r["source"]: r["target"] for r in rows}
+    whole, seen = sum(target.values()), Counter()
+    for n, (_, source, size) in enumerate(taken):  # every first part of the mix has the sources near their shares
+        seen[source] += size
+        if n > 60:
+            assert all(abs(seen[s] / sum(seen.values()) - target[s] / whole) < 0.08 for s in target)
+    order = mixing.repeated(docs).select("doc_id").collect()
+    monkeypatch.setattr(mixing, "van_der_corput", lambda n, digits=0: F.lit(0.5))
+    other = mixing.mix(docs, block_words=64).collect()
+    assert {(r["doc_id"], r["position"]) for r in other} != {(r["doc_id"], r["position"]) for r in rows}
+    assert mixing.repeated(docs).select("doc_id").collect() != order or len(order) < 2
+
+
+def test_sharding_against_the_map(spark):
+    """The map's bytes recomputed from the records, and the shard of every row from the map."""
+    records = sharding.sized_records(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows, entries, _ = placed_rows(records)
+    held, slot = Counter(), {}
+    for r in records.collect():
+        held[r["virtual_slot"]] += r["size"]
+        slot[r["doc_id"]] = r["virtual_slot"]
+    shard = {e[0]: e[1] for e in entries}
+    assert {e[0]: e[2] for e in entries if e[2]} == dict(held) and set(shard) == set(range(sharding.SLOTS))
+    assert all(r["shard"] == shard[slot[r["doc_id"]]] for r in rows) and len(rows) == len(slot)

@@ -300,15 +300,16 @@ def admit(
 ) -> DataFrame:
     """Rows of ``df`` that are admitted; ``event_id`` must be unique per row.
 
-    ``state`` holds (_k, _start, _n) of earlier runs, with the key as text in ``_k``.
+    ``state`` holds (_k, _start, _n) of earlier runs, with the key as text in ``_k``. Only key, instant and id of each row
+    are written; the other columns are read when the result is, so ``df`` must give the same ids both times (a
+    micro-batch is persisted by the caller).
     """
     base = shared_dir(df.sparkSession, "admission")
-    held = df.where(col(ts).isNotNull()).withColumns({
-        "_chain": state_key(col(key)), "_instant": F.unix_micros(col(ts).cast("timestamp"))})
-    rows = _stored(held, f"{base}/rows")
-    slim = rows.select(F.col("_chain").alias("_k"), F.col("_instant").alias("_t"), F.col(event_id).alias("_id"))
+    dated = df.where(col(ts).isNotNull())
+    slim = _stored(dated.select(state_key(col(key)).alias("_k"), F.unix_micros(col(ts).cast("timestamp")).alias("_t"),
+                                F.col(event_id).alias("_id")), f"{base}/rows")
     ids = _admitted(slim, int(ttl.total_seconds() * 1_000_000), limit, state, max_rows_per_key, base)
-    return rows.join(ids.withColumnRenamed("_id", event_id), event_id, "left_semi").select(*df.columns)
+    return dated.join(ids.withColumnRenamed("_id", event_id), event_id, "left_semi").select(*df.columns)
 
 
 def windows_after(

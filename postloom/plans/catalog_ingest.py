@@ -77,13 +77,13 @@ def _(spark, d):
     ).select("event_id")
 
 
-@query("d5_two_stage_dedup", "SELECT e AS event_id FROM chain_b WHERE ok", ["postings"],
-       ctes=chain_sql("postings", "concat(lower(company), '::', lower(role))", "seen_at", "event_id",
-                      "INTERVAL 7 DAY") + """,
+TWO_STAGE_SQL = chain_sql("postings", "concat(lower(company), '::', lower(role))", "seen_at", "event_id", "INTERVAL 7 DAY") + """,
 wanted AS (SELECT * FROM postings JOIN admitted USING (event_id)
-           WHERE list_contains(stack, 'blue') OR list_contains(string_split(lower(role), ' '), 'economy')),"""
-       + chain_sql("wanted", "concat(lower(company), '|', lower(role))", "seen_at", "event_id", "INTERVAL 7 DAY",
-                   tag="_b"))
+           WHERE list_contains(stack, 'blue') OR list_contains(string_split(lower(role), ' '), 'economy')),""" + chain_sql(
+    "wanted", "concat(lower(company), '|', lower(role))", "seen_at", "event_id", "INTERVAL 7 DAY", tag="_b")
+
+
+@query("d5_two_stage_dedup", "SELECT e AS event_id FROM chain_b WHERE ok", ["postings"], ctes=TWO_STAGE_SQL)
 def _(spark, d):
     return dedup.two_stage_dedup(view(spark, d, "postings"), ["blue", "economy"]).select("event_id")
 

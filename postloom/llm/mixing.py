@@ -164,12 +164,13 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...
         "doc_id", "text_hash", "source", "size", "source_size", "target", "taken", "position", "again")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them (whole texts, to the nearest number of times), in the order of the mix.
+def repeated(docs: DataFrame, in_order: bool = False) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them: whole texts, to the nearest number of times.
 
     Only the last document of a source's target is taken in part. Equal rows of a source share what is taken of them:
     as many whole texts as that gives, one more for some rows than for others. Only then do equal rows meet in a task.
-    A document's second time stands where the second lap of its source reaches it.
+    With ``in_order`` the rows are sorted by their positions, a shuffle of the texts; a document's second time stands
+    where the second lap of its source reaches it.
     """
     times = materialise(mix(docs).filter("size > 0").groupBy("doc_id", "text_hash", "source").agg(
         F.round(F.sum("taken") / F.first("size")).cast("long").alias("all"), F.count(F.lit(1)).alias("copies"),
@@ -188,8 +189,10 @@ def repeated(docs: DataFrame) -> DataFrame:
         counted = counted.unionByName(numbered.select(
             "row", (F.col("times") + F.when(F.col("nth") <= F.col("more"), 1).otherwise(0)).alias("times"), "position", "again"))
     dealt = counted.filter("times > 0").select("row", "position", "again", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"))
-    at = F.when(F.col("time") == 1, F.col("position")).otherwise(F.coalesce("again", "position"))
-    return dealt.select("row", at.alias("at")).repartitionByRange("at", F.xxhash64("row.doc_id")).sortWithinPartitions("at").select("row.*")
+    if in_order:
+        at = F.when(F.col("time") == 1, F.col("position")).otherwise(F.coalesce("again", "position"))
+        dealt = dealt.select("row", at.alias("at")).repartitionByRange("at", F.xxhash64("row.doc_id")).sortWithinPartitions("at")
+    return dealt.select("row.*")
 
 
 @query("op4_mixing")

@@ -16,6 +16,8 @@ from postloom.operators.filters import check_choice, job_predicate
 
 MAX_PAGE = 500
 MAX_GROUPS = 10_000
+# Batch sizes.
+BATCH_SIZES = {"discover": 20, "draft": 20, "digest": 100}
 
 
 def _page(limit: int, offset: int, most: int | None = None) -> None:
@@ -31,6 +33,12 @@ def _by_posted(sort: str) -> list[Column]:
     return [posted.asc_nulls_last() if sort == "oldest" else posted.desc_nulls_last(), F.col("id").asc()]
 
 
+def check_page(limit: int, offset: int, sort: str) -> None:
+    """Refuse a page of jobs that cannot be asked for."""
+    _page(limit, offset, MAX_PAGE)
+    check_choice(sort, schemas.SORT_ORDERS, "sort")
+
+
 def list_jobs(
     jobs: DataFrame, role: str | None = None, stack: Sequence[str] | str | None = None,
     status: str | None = None, sort: str = "latest", limit: int = 50, offset: int = 0,
@@ -61,9 +69,7 @@ def row_by_id(table: DataFrame, row_id: Column | str) -> DataFrame:
 
 def new_job_batch(jobs: DataFrame, purpose: str) -> DataFrame:
     """Newest jobs with status ``new``: 20 to discover or draft, 100 for a digest."""
-    # Batch sizes.
-    size = {"discover": 20, "draft": 20, "digest": 100}[purpose]
-    return list_jobs(jobs, status="new", sort="latest", limit=size)
+    return list_jobs(jobs, status="new", sort="latest", limit=BATCH_SIZES[purpose])
 
 
 def _latest(changes: DataFrame, fields: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -136,7 +142,7 @@ def board_counts(jobs: DataFrame) -> DataFrame:
     )
 
 
-def _newest(table: DataFrame, limit: int, offset: int) -> DataFrame:
+def newest(table: DataFrame, limit: int, offset: int) -> DataFrame:
     _page(limit, offset)
     ordered = table.orderBy(F.col("created_at").desc(), F.col("id").asc())
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
@@ -148,7 +154,7 @@ def _company_like(contacts: DataFrame, company: str | None) -> DataFrame:
 
 def contacts_by_company(contacts: DataFrame, company: str | None, limit: int = 50, offset: int = 0) -> DataFrame:
     """Contacts whose company contains the text, newest first; no text means all."""
-    return _newest(_company_like(contacts, company), limit, offset)
+    return newest(_company_like(contacts, company), limit, offset)
 
 
 def count_contacts(contacts: DataFrame, company: str | None) -> DataFrame:
@@ -156,7 +162,7 @@ def count_contacts(contacts: DataFrame, company: str | None) -> DataFrame:
 
 
 def contacts_by_job(contacts: DataFrame, job_id: Column | str, limit: int = 50, offset: int = 0) -> DataFrame:
-    return _newest(contacts.where(F.col("job_id") == job_id), limit, offset)
+    return newest(contacts.where(F.col("job_id") == job_id), limit, offset)
 
 
 def emails_by_job(emails: DataFrame, job_id: Column | str) -> DataFrame:

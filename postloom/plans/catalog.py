@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from postloom.plans import (  # noqa: F401
+    catalog_indexed,
     catalog_ingest,
     catalog_outreach,
     catalog_sources,

@@ -141,19 +141,8 @@ incoming AS (
   FROM contacts WHERE ck % 4 = 2)"""
 
 
-@query("q10_upsert_contacts", """
-SELECT id, job_id, company, domain, name, email, role, source, verified FROM (
-  SELECT struct_extract(arg_min(struct_pack(v := id), ord), 'v') AS id, struct_extract(arg_min(struct_pack(v := job_id), ord), 'v') AS job_id, company,
-         struct_extract(arg_min(struct_pack(v := domain), ord), 'v') AS domain,
-         arg_max(name, ord) AS name, email, arg_max(role, ord) AS role,
-         struct_extract(arg_max(struct_pack(v := source), ord), 'v') AS source, struct_extract(arg_max(struct_pack(v := verified), ord), 'v') AS verified
-  FROM everything WHERE email IS NOT NULL GROUP BY company, email
-  UNION ALL SELECT id, job_id, company, domain, name, email, role, source, verified FROM everything WHERE email IS NULL)""",
-       ["contacts"], ctes=_INCOMING + """,
-everything AS (SELECT id, job_id, company, domain, name, email, role, source, verified, 0 AS ord FROM contacts
-  UNION ALL SELECT id, job_id, company, domain, name, email, role, source, verified, seq FROM incoming)""")
-def _(spark, d):
-    contacts = view(spark, d, "contacts")
+def incoming_contacts(contacts):
+    """Rows to be inserted or merged, made of every second contact, with their order ``seq``."""
     fields = schemas.CONTACT.fieldNames()
     k = F.col("ck")
     one = contacts.where((k % 2 == 0) | (k % 10 == 9)).withColumns({
@@ -167,9 +156,23 @@ def _(spark, d):
         "domain": F.lit(None).cast("string"), "name": F.lit(None).cast("string"), "role": F.lit("head"),
         "source": F.lit("again"), "verified": F.lit("invalid"), "seq": F.lit(2),
     })
-    after = tables.upsert_contacts(
-        contacts.select(*fields), one.select(*fields, "seq").unionByName(two.select(*fields, "seq"))
-    )
+    return one.select(*fields, "seq").unionByName(two.select(*fields, "seq"))
+
+
+@query("q10_upsert_contacts", """
+SELECT id, job_id, company, domain, name, email, role, source, verified FROM (
+  SELECT struct_extract(arg_min(struct_pack(v := id), ord), 'v') AS id, struct_extract(arg_min(struct_pack(v := job_id), ord), 'v') AS job_id, company,
+         struct_extract(arg_min(struct_pack(v := domain), ord), 'v') AS domain,
+         arg_max(name, ord) AS name, email, arg_max(role, ord) AS role,
+         struct_extract(arg_max(struct_pack(v := source), ord), 'v') AS source, struct_extract(arg_max(struct_pack(v := verified), ord), 'v') AS verified
+  FROM everything WHERE email IS NOT NULL GROUP BY company, email
+  UNION ALL SELECT id, job_id, company, domain, name, email, role, source, verified FROM everything WHERE email IS NULL)""",
+       ["contacts"], ctes=_INCOMING + """,
+everything AS (SELECT id, job_id, company, domain, name, email, role, source, verified, 0 AS ord FROM contacts
+  UNION ALL SELECT id, job_id, company, domain, name, email, role, source, verified, seq FROM incoming)""")
+def _(spark, d):
+    contacts = view(spark, d, "contacts")
+    after = tables.upsert_contacts(contacts.select(*schemas.CONTACT.fieldNames()), incoming_contacts(contacts))
     return after.drop("created_at")
 
 

@@ -68,6 +68,11 @@ def _markers(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(s.getPath().getName()[len("version-"):]) for s in found or [])
 
 
+def newest(spark: SparkSession, path: str) -> int:
+    """Number of the newest version that ``commit`` published; -1 if there is none."""
+    return (_markers(spark, path) or [-1])[-1]
+
+
 def commit(df: DataFrame, path: str, expected: int | None = None, tries: int = 100) -> int | None:
     """Publish ``df`` as one version more, safe against other writers at the same time; the version's number.
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import query, table
+from postloom.llm.common import materialise, query, table
 from postloom.llm.vectors import PACK_ROWS, SHARD_ROWS, finite, packed, pairs, ranked, search_pairs
 
 SAMPLE = 20_000
@@ -121,7 +121,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n_asked = asked.count()
     packs, n_packs = packed(asked, width, n_asked, PACK_ROWS, [F.col("vec_id")], "ann-queries")
     met = pairs(shards, n_shards, packs, n_packs)
-    found = ranked(search_pairs(met, hash_search(k, mean, projection), "double"), k, F.col("score"))
+    found = materialise(ranked(search_pairs(met, hash_search(k, mean, projection), "double"), k, F.col("score")), "ann-found")
     own = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"))
     short = asked.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("got")), F.col("vec_id") == F.col("query_id"), "left").join(
         own, "vec_id").filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.lit(size["n"]) - F.col("own"))).select("vec_id", "vector")

@@ -78,7 +78,8 @@ def committed(spark: SparkSession, path: str, batch: str) -> bool:
 def apply_batch(changes: DataFrame, path: str, batch: str) -> bool:
     """Apply one batch; False if it had been committed before.
 
-    ``changes``: op (insert, delete or revise), source, lang, tokenizer, n_tokens and old_tokens (revise only).
+    ``changes``: op (insert, delete or revise), source, lang, tokenizer, n_tokens and old_tokens (revise only). A column
+    ``times``, if there is one, says how many equal changes a row stands for.
     """
     spark = changes.sparkSession
     if committed(spark, path, batch):
@@ -86,7 +87,8 @@ def apply_batch(changes: DataFrame, path: str, batch: str) -> bool:
     sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0).otherwise(
         F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce("op", F.lit("null")))))
     tokens = F.when(F.col("op") == "revise", F.col("n_tokens") - F.col("old_tokens")).otherwise(sign * F.col("n_tokens"))
-    changes.groupBy(*KEYS).agg(F.sum(sign).cast("long").alias("docs"), F.sum(tokens).cast("long").alias("tokens")).write.mode(
+    times = F.col("times") if "times" in changes.columns else F.lit(1)
+    changes.groupBy(*KEYS).agg(F.sum(sign * times).cast("long").alias("docs"), F.sum(tokens * times).cast("long").alias("tokens")).write.mode(
         "overwrite").parquet(f"{path}/deltas/batch={batch}")
     spark.createDataFrame([(batch,)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch={batch}")
     return True
@@ -108,6 +110,20 @@ def compacted(spark: SparkSession, path: str, into: str) -> None:
     spark.createDataFrame([("compacted",)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{into}/commits/batch=compacted")
 
 
+def further_copies(docs: DataFrame) -> DataFrame:
+    """Changes that delete every row of a text but the first (by id, then by row; rows without an id last).
+
+    Copies are counted by text and group, and combine before the shuffle; a text meets one row per group, not its copies.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    groups = docs.groupBy("text_hash", "n_tokens", *KEYS).agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("least"))
+    held = F.struct(F.col("least").alias("least"), *KEYS)
+    per_text = groups.groupBy("text_hash", "n_tokens").agg(F.min(held).alias("first"))
+    return groups.select("n_tokens", *KEYS, F.col("copies").alias("times")).unionByName(
+        per_text.select("n_tokens", *[F.col(f"first.{k}").alias(k) for k in KEYS], F.lit(-1).cast("long").alias("times"))).select(
+        F.lit("delete").alias("op"), *KEYS, "n_tokens", F.lit(None).cast("long").alias("old_tokens"), "times")
+
+
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of distinct texts by source, language and tokenizer version, kept by three batches.
@@ -122,8 +138,6 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_batch(docs.select(F.lit("insert").alias("op"), *keys, guess.alias("n_tokens"), F.lit(None).cast("long").alias("old_tokens")), path, "b1")
     revised = docs.select(F.lit("revise").alias("op"), *keys, "n_tokens", guess.alias("old_tokens"))
     apply_batch(revised, path, "b2")
-    first = docs.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
-    copies = docs.join(first, "text_hash").filter(F.col("first.row") != F.col("row"))
-    apply_batch(copies.select(F.lit("delete").alias("op"), *keys, "n_tokens", F.lit(None).cast("long").alias("old_tokens")), path, "b3")
+    apply_batch(further_copies(docs), path, "b3")
     apply_batch(revised, path, "b2")
     return totals(spark, path)

@@ -229,3 +229,17 @@ def test_rollup_batches(spark, odd, nothing, tmp_path):
     tokencounts.apply_batch(delete, path, "4")
     assert tokencounts.totals(spark, path).collect() == []
     assert tokencounts.counted(nothing).collect() == []
+
+
+def test_copies_of_a_family_are_deleted_by_count(spark):
+    """Of 5,000 copies over groups the first stays; what meets it is one row per group."""
+    kind = "doc_id long, text_hash long, source string, lang string, tokenizer string, n_tokens long, row long"
+    rows = [(None if i % 5 == 0 else 9_000 - i, 1, f"s{i % 3}", None, "v", 7, i) for i in range(5_000)] + [(3, 2, None, "en", "v", 4, 6_000)]
+    changes = tokencounts.further_copies(spark.createDataFrame(rows, kind)).collect()
+    gone = Counter()
+    for r in changes:
+        gone[r["source"], r["lang"]] += r["times"]
+    least = min((r for r in rows if r[1] == 1), key=lambda r: (r[0] is None, r[0] or 0, r[6]))
+    want = Counter((r[2], r[3]) for r in rows if r[1] == 1)
+    want[least[2], least[3]] -= 1
+    assert {k: v for k, v in gone.items() if v} == want and len(changes) == 6

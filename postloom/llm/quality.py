@@ -22,6 +22,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ FEATURES = 256
 RIDGE = 1.0
 SEED = 20240
 BINS = 2048
+#: Partial sums of one row of the matrix that a task adds at a time.
+FAN_IN = 256
 STATISTICS = (
     "chars", "words", "word_len", "long_word", "upper", "lower", "digit", "space", "newline", "stop", "mark", "symbol",
     "bracket", "beyond", "distinct", "top_word", "repeat", "line_repeat", "line_words", "pair_repeat", "short_word",
@@ -126,9 +129,14 @@ def _rows(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], 1).astype(float)
 
 
-def normal_equations(train: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray]:
-    """Z'Z and Z'y over all rows: one partial sum per partition, summed by row of the matrix in Spark."""
-    kind = pa.schema([("i", pa.int32()), ("row", pa.list_(pa.float64()))])
+def normal_equations(train: DataFrame, features: Features, fan_in: int = FAN_IN) -> tuple[np.ndarray, np.ndarray]:
+    """Z'Z and Z'y over all rows: one partial sum per partition, added by row of the matrix in rounds of at most ``fan_in``.
+
+    Partial sums come in the order of their partitions, so that reruns add in the same order. No group holds more than
+    ``fan_in`` rows of the matrix, however many partitions there are.
+    """
+    kind = pa.schema([("i", pa.int32()), ("part", pa.int32()), ("row", pa.list_(pa.float64()))])
+    ddl = "i int, part int, row array<double>"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -138,13 +146,20 @@ def normal_equations(train: DataFrame, features: Features) -> tuple[np.ndarray,
                 part = z.T @ np.hstack([z, _rows(batch, ["quality"])])
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist())], schema=kind)
+            part = TaskContext.get().partitionId()
+            flat = pa.ListArray.from_arrays(np.arange(len(total) + 1, dtype=np.int32) * total.shape[1], total.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([part] * len(total), pa.int32()), flat], schema=kind)
 
     def add(group: pa.Table) -> pa.Table:
-        summed = np.sum(group.column("row").to_pylist(), axis=0)
-        return pa.table([group.column("i")[:1], pa.array([summed.tolist()])], schema=kind)
-
-    summed = train.mapInArrow(partial, "i int, row array<double>").groupBy("i").applyInArrow(add, "i int, row array<double>")
+        rows = group.sort_by("part").column("row").combine_chunks()
+        summed = rows.flatten().to_numpy().reshape(len(rows), -1).sum(0)
+        return pa.table([group.column("i")[:1], pa.array([group.column("part")[0].as_py() // fan_in], pa.int32()), pa.array([summed.tolist()])], schema=kind)
+
+    summed = materialise(train.mapInArrow(partial, ddl), "quality-sums")
+    parts = summed.agg(F.max("part")).first()[0] + 1
+    while parts > 0:
+        summed = summed.groupBy("i", F.expr(f"part div {fan_in}")).applyInArrow(add, ddl)
+        parts = -(-parts // fan_in) if parts > fan_in else 0
     whole = np.array([r["row"] for r in sorted(summed.collect(), key=lambda r: r["i"])])
     return whole[:, :-1], whole[:, -1]
 

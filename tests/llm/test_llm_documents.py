@@ -3,6 +3,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from postloom.llm import jaccard, mixing, quality, sharding
@@ -125,6 +126,30 @@ def test_classifier_on_held_out_rows(spark):
     assert all(abs(again[i] - got[i]["score"]) < 1e-6 for i in got)
 
 
+def test_normal_equations_against_numpy(spark):
+    draw = np.random.default_rng(4)
+    width = len(quality.STATISTICS)
+    rows = draw.normal(size=(500, width))
+    marks = draw.integers(0, 2, 500)
+    train = spark.createDataFrame([(*map(float, r), int(m)) for r, m in zip(rows, marks)],
+                                  ", ".join([*(f"s_{n} double" for n in quality.STATISTICS), "quality int"])).repartition(11)
+    features = quality.Features(np.zeros(width), np.ones(width))
+    z = features(rows)
+    for fan_in in (2, 3, 11, 256):  # any number of rounds gives the same sums
+        left, right = quality.normal_equations(train, features, fan_in)
+        assert np.allclose(left, z.T @ z) and np.allclose(right, z.T @ marks)
+
+
+def test_isotonic_against_the_min_max_formula():
+    draw = np.random.default_rng(6)
+    for n in (1, 2, 7, 40):
+        x, y, w = np.sort(draw.normal(size=n)), draw.random(n), draw.integers(1, 9, n).astype(float)
+        want = [max(min(np.average(y[j:k + 1], weights=w[j:k + 1]) for k in range(i, n)) for j in range(i + 1)) for i in range(n)]
+        knots, levels = quality.isotonic(x, y, w)
+        assert np.all(np.diff(levels) > 0) and np.allclose(sorted(set(np.round(want, 9))), np.round(levels, 9))
+        assert np.all(np.diff(knots) > 0)
+
+
 def test_classifier_odd_rows(spark, odd, nothing):
     kind = "doc_id long, quality int, toxic int, score string"
     labels = spark.createDataFrame([(1, 1, 0, ""), (1, 0, 0, ""), (2, None, 0, ""), (3, 0, 0, ""), (4, 1, 0, ""), (8, 1, 0, ""), (None, 1, 0, "")], kind)

@@ -73,6 +73,24 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Rows of one key that may meet in a task when there are too many keys to broadcast.
+HOT_ROWS = 10_000
+
+
+def join_one(rows: DataFrame, one: DataFrame, key: str, weight: str, total: int, keys: int) -> DataFrame:
+    """``rows`` joined on ``key`` with ``one``, a table of one row per key; rows of a frequent key never meet.
+
+    ``one`` says in ``weight`` how many rows its key has; they add up to at most ``total``, and there are at most
+    ``keys`` keys. Few keys are broadcast whole. Of many, those with more rows than the larger of HOT_ROWS and
+    ``2 * total / BROADCAST_ROWS`` are, by division, at most half of BROADCAST_ROWS and are broadcast; the others shuffle.
+    """
+    if keys <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(one), key)
+    hot = max(HOT_ROWS, 2 * total // BROADCAST_ROWS)
+    heavy, light = F.broadcast(one.filter(F.col(weight) > hot)), one.filter(F.col(weight) <= hot)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Each row as a struct beside its key (id and hash of the text), safe from any column names."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import few, keyed, materialise, on_key, query, small_batches, table
+from postloom.llm.common import few, join_one, keyed, materialise, on_key, query, small_batches, table
 from postloom.llm.components import components
 from postloom.llm.shingles import WordCodes, shingle_set
 
@@ -482,11 +482,14 @@ def memberships(docs: DataFrame) -> DataFrame:
     counts = links.filter("kind = 1").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("links"))
     named = materialise(classes.join(reached.withColumnRenamed("node", "cls"), "cls", "left").join(counts, "cls", "left").select(
         "cls", "least_id", "copies", F.coalesce("component", "cls").alias("component"), "links"), "jaccard-named")
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    final = named.join(least, "component").select(
-        "cls", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sets.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(
-        final, "cls", "left").drop("cls")
+    per = materialise(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("classes")),
+                      "jaccard-components")
+    size = named.agg(F.count(F.lit(1)).alias("classes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    final = materialise(join_one(named, per, "component", "classes", size["classes"], per.count()).select(
+        "cls", "component", "component_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-final")
+    known = join_one(sets.select("doc_id", "text_hash", "n", "cls").filter("n > 0"), final, "cls", "copies", size["rows"], size["classes"])
+    none = [F.lit(None).cast("long").alias(c) for c in ("component", "component_id", "n_links")]
+    return known.drop("cls", "copies").unionByName(sets.filter("n = 0").select("doc_id", "text_hash", "n", *none))
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -501,8 +504,9 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``: of each component that with the smallest id; all rows without shingles."""
     found = materialise(memberships(docs).filter("n > 0").select("doc_id", "text_hash", "component"), "jaccard-members")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    first = found.groupBy("component").agg(F.min(order).alias("first"))
-    per_key = found.groupBy("doc_id", "text_hash", "component").agg(F.count(F.lit(1)).alias("rows")).join(first, "component")
+    first = materialise(found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("members")), "jaccard-first")
+    per_key = join_one(found.groupBy("doc_id", "text_hash", "component").agg(F.count(F.lit(1)).alias("rows")), first,
+                       "component", "members", found.count(), first.count())
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
     other = materialise(per_key.select("doc_id", "text_hash", stays.alias("stays"), "rows").filter("NOT stays OR rows > 1"),
                         "jaccard-dropped")

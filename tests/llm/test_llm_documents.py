@@ -4,9 +4,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from postloom.llm import jaccard, mixing, quality, sharding
+from postloom.llm import common, jaccard, mixing, quality, sharding
 from postloom.llm.catalog import QUERIES
 from postloom.llm.components import components
 from llm_helpers import SF, odd_rows, shingles, words
@@ -184,7 +185,15 @@ def brute_components(rows):
     return Counter((doc, len(sets[i]), least.get(root(i)), links[i]) for i, (doc, _) in enumerate(rows))
 
 
-def test_jaccard_odd_rows(odd, nothing):
+@pytest.fixture(params=["broadcast", "frequent keys apart"])
+def bounds(request, monkeypatch):
+    """Joins with tables of one row per key: all keys few, or too many with some frequent."""
+    if request.param != "broadcast":
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 4)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
+
+
+def test_jaccard_odd_rows(odd, nothing, bounds):
     assert Counter(map(tuple, jaccard.jaccard_join(odd).collect())) == brute_components([(i, t) for i, t, *_ in odd_rows()])
     assert jaccard.jaccard_join(nothing).collect() == [] and jaccard.one_per_component(nothing).collect() == []
     kept = jaccard.one_per_component(odd)
@@ -195,7 +204,7 @@ def test_jaccard_odd_rows(odd, nothing):
     assert Counter(i for i, _ in left)[13] == 1
 
 
-def test_jaccard_families(spark):
+def test_jaccard_families(spark, bounds):
     import random
 
     rnd = random.Random(5)
@@ -213,12 +222,24 @@ def test_jaccard_families(spark):
     assert Counter(map(tuple, jaccard.jaccard_join(docs).collect())) == brute_components(rows)
 
 
+def test_rows_of_a_frequent_key_never_meet(spark, monkeypatch):
+    """5,000 of 9,000 rows have one key; no task of the join reads more than a share of them."""
+    rows = spark.range(9000, numPartitions=6).selectExpr("id", "IF(id < 5000, 1, id) AS k")
+    one = rows.groupBy("k").agg(F.count("*").alias("held"), F.min("id").alias("least"))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1000)
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    joined = common.join_one(rows, one, "k", "held", 9000, 4001)
+    assert {(r["id"], r["least"]) for r in joined.collect()} == {(i, 0 if i < 5000 else i) for i in range(9000)} and joined.count() == 9000
+    place = joined.filter("k = 1").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert place <= 1500
+
+
 def test_jaccard_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert Counter(map(tuple, QUERIES["op9_jaccard_join"](spark, SF).collect())) == brute_components(rows)
 
 
-def test_components_of_chains_and_hubs(spark):
+def test_components_of_chains_and_hubs(spark, bounds):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}, 200: 200, 201: 200}

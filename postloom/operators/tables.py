@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from postloom import schemas
@@ -62,6 +62,25 @@ def page_info(total: DataFrame, limit: int, offset: int) -> DataFrame:
     )
 
 
+def page_with_info(
+    jobs: DataFrame, role: str | None = None, stack: Sequence[str] | str | None = None, status: str | None = None,
+    sort: str = "latest", limit: int = 50, offset: int = 0,
+) -> tuple[list[Row], dict[str, int | bool]]:
+    """The rows of a page, as of ``list_jobs``, and its ``page_info``, from one pass over the jobs.
+
+    All rows that pass the filter are counted on their way to the top ``offset + limit``; each task keeps only its own
+    top rows, so the driver gets the page alone (at most MAX_PAGE rows). For an empty page Spark may cut the counting step out
+    of the plan, so only then the rows are counted by a job of their own.
+    """
+    check_page(limit, offset, sort)
+    counted = Observation()
+    kept = jobs.where(job_predicate(role, stack, status)).observe(counted, F.count(F.lit(1)).alias("total"))
+    ordered = kept.orderBy(*_by_posted(sort))
+    rows = (ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)).collect()
+    total = counted.get["total"] if rows else count_jobs(jobs, role, stack, status).first()["total"]
+    return rows, {"total": total, "limit": limit, "offset": offset, "has_more": offset + limit < total}
+
+
 def row_by_id(table: DataFrame, row_id: Column | str) -> DataFrame:
     """The row of an id, given as text or as a scalar subquery."""
     return table.where(F.col("id") == row_id)

@@ -44,6 +44,19 @@ def _(spark, d):
     return tables.page_info(tables.count_jobs(view(spark, d, "jobs"), role="ring"), 50, 100)
 
 
+@query("q2_page_one_pass", f"""
+SELECT id, role, {_sql_stamp('posted_at')}, count(*) OVER () AS total, CAST(50 AS INT) AS "limit", CAST(100 AS INT) AS "offset",
+       150 < count(*) OVER () AS has_more
+FROM jobs WHERE role ILIKE '%ring%' ORDER BY jobs.posted_at DESC NULLS LAST, id LIMIT 50 OFFSET 100""", ["jobs"])
+def _(spark, d):
+    """The page and its counts in one job."""
+    jobs = view(spark, d, "jobs")
+    rows, info = tables.page_with_info(jobs, role="ring", limit=50, offset=100)
+    page = spark.createDataFrame(rows, jobs.schema)
+    total = F.lit(info.pop("total")).cast("long").alias("total")
+    return page.select("id", "role", _stamp("posted_at"), total, *[F.lit(value).alias(name) for name, value in info.items()])
+
+
 @query("q3_job_by_id", """
 SELECT id, company, role, url FROM jobs WHERE id = (SELECT min(id) FROM jobs)""", ["jobs"])
 def _(spark, d):

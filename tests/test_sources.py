@@ -163,3 +163,24 @@ def test_snapshots(spark, tmp_path):
     (tmp_path / "jobs" / "v=7").mkdir()  # a write that never finished
     assert snapshots.current(spark, path).count() == 2
     assert isinstance(datetime.now(), datetime)
+
+
+def test_pages_are_read_in_one_pass_as_the_tree_reads_them(monkeypatch):
+    """The same cards as by the tree, for pages out of odd pieces, and no tree is built."""
+    import random
+
+    pieces = [
+        "<ul>", "</ul>", "<li>", "</li>", "<LI class=job>", "<div class='individual_internship jEsvIv tag' data-href='/d/1'>", "</div>",
+        "<h3 class=\"job-internship-name\">", "</h3>", "<a href='/jobs/1&amp;2'>", "<a title='a>b' class=title href=job>", "</a>",
+        "<span class=\"comp-name tag location\">", "</span>", "<article class=\"jobTuple\">", "</article>", "<br/>", "<img alt=x>",
+        "text ", " \n ", "a &lt;b&gt;", " < ", "<!-- c<b> -->", "<script>if(a<b){'</div>'}</script>", "<template>t</template>",
+        "<style>", "</zz>", "<p class=description>", "</p>", "<h2>", "</h2>", "<div class='job company'>", "2 days ago"]
+    chosen = random.Random(7)
+    pages = ["".join(chosen.choice(pieces) for _ in range(chosen.randrange(40))) for _ in range(300)]
+    nested = html.Profile(cards=("li:has(a) > div:has(span.tag) p", "ul li:has(h3)", "li"), rows="a, span", row_fields=("alt",), fields={
+        "title": (("div:has(a) span", "a"), "inner"), "text": ((":self",), "spaced"), "alt": ((":self",), "any")}, skills=("li span", "own"))
+    profiles = [*html.PROFILES.values(), nested]
+    want = [[html.tree_cards(page, p) for p in profiles] for page in pages]
+    monkeypatch.setattr(html, "parse_html", None)
+    assert [[html.page_cards(page, p) for p in profiles] for page in pages] == want
+    assert sum(len(cards) for per_page in want for cards in per_page) > 300

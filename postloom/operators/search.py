@@ -38,8 +38,9 @@ def search_queries(profiles: DataFrame) -> DataFrame:
     def written(platform: Column) -> Column:
         query = F.lit(None).cast("string")
         for name, template in lexicon.SEARCH_TEMPLATES.items():
-            text = fill(template, {"context": F.col("_context"), "hiring_terms": F.lit(hiring)})
-            query = F.when(platform == name, collapse(text)).otherwise(query)
+            # Context and hiring terms are collapsed and not empty, so a collapsed template gives a collapsed text.
+            text = fill(" ".join(template.split()), {"context": F.col("_context"), "hiring_terms": F.lit(hiring)})
+            query = F.when(platform == name, text).otherwise(query)
         return query
 
     every = F.array(*[F.lit(p) for p in lexicon.SEARCH_PLATFORMS])
@@ -58,27 +59,38 @@ def score_results(results: DataFrame, min_score: int = 2, seq: str = "seq", scop
     found by a pre-aggregated minimum and matched by ``seq``, so a URL with many copies never
     meets in one task.
     """
+    return _reasoned(_judged(results), min_score, seq, scope)
+
+
+def _judged(results: DataFrame) -> DataFrame:
+    """Results with what each one tells by itself, so that its texts need not move to find the first of a URL."""
     rows = computed(results, norm_url=normalize_url("url"))
     rows = computed(
         rows,
         _early=F.when(F.col("norm_url") == "", "missing_url").when(blocked_domain("norm_url"), "blocked_domain"),
+        _text=F.lower(F.concat(nz("title"), F.lit(" "), nz("snippet"), F.lit(" "), F.col("norm_url"))),
     )
+    return computed(
+        rows, score=count_terms(F.col("_text"), lexicon.HIGH_SIGNAL_TERMS), _noisy=has_any(F.col("_text"), lexicon.NOISY_TERMS),
+    ).drop("_text")
+
+
+def _reasoned(rows: DataFrame, min_score: int, seq: str, scope: Sequence[str]) -> DataFrame:
+    """Judged results with the reason why each is kept or not."""
     firsts = (
         rows.where(F.col("_early").isNull())
         .groupBy(*scope, "norm_url").agg(F.min(seq).alias(seq))
         .select(*scope, seq, F.lit(True).alias("_first"))
     )
-    text = F.lower(F.concat(nz("title"), F.lit(" "), nz("snippet"), F.lit(" "), F.col("norm_url")))
-    joined = rows.join(firsts, [*scope, seq], "left").withColumn("_text", text)
-    scored = joined.withColumn("score", count_terms(F.col("_text"), lexicon.HIGH_SIGNAL_TERMS))
+    scored = rows.join(firsts, [*scope, seq], "left")
     reason = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
         .when(F.col("_first").isNull(), "duplicate_url")
-        .when(has_any(F.col("_text"), lexicon.NOISY_TERMS), "noisy_term")
+        .when(F.col("_noisy"), "noisy_term")
         .when(F.col("score") < min_score, "low_signal")
         .otherwise("accepted")
     )
-    return scored.withColumns({"reason": reason, "accepted": reason == "accepted"}).drop("_early", "_first", "_text")
+    return scored.withColumns({"reason": reason, "accepted": reason == "accepted"}).drop("_early", "_first", "_noisy")
 
 
 def candidates(scored: DataFrame) -> DataFrame:
@@ -94,14 +106,15 @@ def search_fanout(queries: DataFrame, seeds: DataFrame, per_query: int = 10, min
 
     ``queries`` has (profile_id, position, query), one request per profile: results are numbered and
     duplicates found within a profile. Without profile_id all queries are one request. The seeds are
-    a fixed handful, read as one value by a scalar subquery; no join is planned.
+    a fixed handful, judged once and read as one value by a scalar subquery; no join is planned.
     """
     scope = [c for c in ("profile_id",) if c in queries.columns]
-    few = seeds.orderBy("seq").limit(per_query)
-    listed = few.agg(F.array_sort(F.collect_list(F.struct("seq", "title", "url", "snippet"))).alias("s"))
+    few = _judged(seeds.orderBy("seq").limit(per_query))
+    shown = ("title", "url", "snippet", "norm_url", "_early", "score", "_noisy")
+    listed = few.agg(F.array_sort(F.collect_list(F.struct("seq", *shown))).alias("s"))
     fanned = queries.select(*scope, "position", "query", F.posexplode(listed.scalar()).alias("_n", "_seed"))
     results = fanned.select(
         *scope, (F.col("position").cast("long") * per_query + F.col("_n")).alias("seq"), "query",
-        "_seed.title", "_seed.url", "_seed.snippet",
+        *(f"_seed.{c}" for c in shown),
     )
-    return score_results(results, min_score, scope=scope)
+    return _reasoned(results, min_score, "seq", scope)

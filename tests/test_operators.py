@@ -219,3 +219,21 @@ def test_ranking(spark):
     ranked = matching.rank_by_profile(df, df.where("id = 1"), ("id",)).collect()
     assert [(r["id"], r["match_score"], r["match_tier"]) for r in ranked] == [
         (1, 1.0, "strong"), (5, 1.0, "strong"), (2, 0.6, "strong"), (6, 0.45, "moderate"), (3, 0.0, "weak"), (4, -1.0, "weak")]
+
+
+def test_fanned_out_results_are_judged_before_they_are_fanned_out(spark):
+    """The texts of the seeds are not in the rows that are shuffled to find the first of a URL."""
+    from postloom.operators import search
+
+    seeds = spark.createDataFrame([
+        (1, "Careers, apply", "https://a.example.com/x", "hiring open roles"), (2, "tutorial", "https://a.example.com/x", "s"),
+        (3, "x", "", "s"), (4, None, "https://b.example.com/", None)], "seq int, title string, url string, snippet string")
+    queries = spark.createDataFrame([("p", 0, "q"), ("p", 1, "r"), ("o", 0, "s")], "profile_id string, position int, query string")
+    fanned = search.search_fanout(queries, seeds)
+    plan = fanned.select("seq", "score", "reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert "snippet" not in plan[: plan.index("Generate posexplode")]
+    plain = queries.crossJoin(seeds.withColumn("_n", F.col("seq") - 1)).select(
+        "profile_id", (F.col("position") * 10 + F.col("_n")).cast("long").alias("seq"), "query", "title", "url", "snippet")
+    columns = ["profile_id", "seq", "query", "title", "url", "snippet", "norm_url", "score", "reason", "accepted"]
+    got, want = (sorted(map(str, df.select(columns).collect())) for df in (fanned, search.score_results(plain, scope=["profile_id"])))
+    assert got == want and len(got) == 12

@@ -66,7 +66,8 @@ def parse_listing_cards(
             strip(F.array_join(F.slice("_words", F.col("_cut") + 1, F.greatest(count, F.lit(1))), " "))
         ),
     )
-    lead = F.split_part("_company", F.lit(" "), F.lit(1))
+    step = computed(step, _lead=F.split_part("_company", F.lit(" "), F.lit(1)))
+    lead = F.col("_lead")
     moves = F.lower(lead).isin(*lexicon.ROLE_PREFIXES) & F.contains(F.col("_company"), F.lit(" "))
     rest = _trim_commas(strip(F.substring("_company", F.length(lead) + 1, F.length("_company"))))
     step = computed(

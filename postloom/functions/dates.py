@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postloom.functions.frames import once
 from postloom.functions.text import col, strip
 
 MICROS = 1_000_000
@@ -36,20 +37,24 @@ _SHAPES = (
 )
 
 
-def _int(text: Column, pattern: str, group: int) -> Column:
-    return F.coalesce(F.regexp_extract(text, pattern, group).try_cast("int"), F.lit(0))
-
-
 def parse_iso(c: Column | str) -> Column:
     """ISO-8601 date or date-time with optional offset; naive means UTC; else NULL."""
     text = col(c)
+    # One match gives all groups, as an array; a group that is not there is empty.
+    split = F.split(F.regexp_replace(text, _ISO, "".join(f"${n}\u0001" for n in range(1, 11))), "\u0001")
+    return once(F.when(text.rlike(_ISO), split), _from_groups)
+
+
+def _from_groups(groups: Column) -> Column:
+    def group(n: int) -> Column:
+        return F.get(groups, F.lit(n - 1))
 
-    def part(group: int) -> Column:
-        return _int(text, _ISO, group)
+    def part(n: int) -> Column:
+        return F.coalesce(group(n).try_cast("int"), F.lit(0))
 
     base = F.try_make_timestamp(part(1), part(3), part(4), part(5), part(7), part(8).cast("decimal(16,6)"))
-    fraction = F.rpad(F.substring(F.regexp_extract(text, _ISO, 9), 1, 6), 6, "0").try_cast("int")
-    offset = F.regexp_extract(text, _ISO, 10)
+    fraction = F.rpad(F.substring(group(9), 1, 6), 6, "0").try_cast("int")
+    offset = group(10)
     digits = F.rpad(F.regexp_replace(offset, "[^0-9]", ""), 6, "0")
     hours, minutes, seconds = (F.substring(digits, at, 2).try_cast("int") for at in (1, 3, 5))
     shift = F.when(offset.isin("", "Z"), F.lit(0)).otherwise(
@@ -59,7 +64,7 @@ def parse_iso(c: Column | str) -> Column:
         offset.isin("", "Z") | ((hours < 24) & (minutes < 60) & (seconds < 60))
     )
     micros = F.unix_micros(base) + F.coalesce(fraction, F.lit(0)) - shift.cast("long") * MICROS
-    return F.when(text.rlike(_ISO) & valid, F.timestamp_micros(micros))
+    return F.when(groups.isNotNull() & valid, F.timestamp_micros(micros))
 
 
 def parse_epoch(seconds: Column, as_of: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from postloom import lexicon
 from postloom.functions.dates import parse_iso
+from postloom.functions.frames import computed
 from postloom.functions.text import blank_to_null, fill, nz
 from postloom.session import shared_dir
 
@@ -19,8 +20,11 @@ MAX_BROADCAST_SOURCES = 50_000
 def digest_select(jobs: DataFrame, as_of: Column, days: int = MAX_AGE_DAYS, posted: str = "posted_at") -> DataFrame:
     """Jobs posted in the last ``days``, or with a date that is missing or unreadable."""
     kind = jobs.schema[posted].dataType.simpleString()
-    at = F.col(posted) if kind.startswith("timestamp") else parse_iso(posted)
-    return jobs.where(at.isNull() | (at >= as_of - F.make_dt_interval(F.lit(days))))
+    first = as_of - F.make_dt_interval(F.lit(days))
+    if kind.startswith("timestamp"):
+        return jobs.where(F.col(posted).isNull() | (F.col(posted) >= first))
+    # the date is read once per row, not once per use of it
+    return computed(jobs, _at=parse_iso(posted)).where(F.col("_at").isNull() | (F.col("_at") >= first)).drop("_at")
 
 
 def _source() -> Column:

@@ -184,3 +184,21 @@ def test_pages_are_read_in_one_pass_as_the_tree_reads_them(monkeypatch):
     monkeypatch.setattr(html, "parse_html", None)
     assert [[html.page_cards(page, p) for p in profiles] for page in pages] == want
     assert sum(len(cards) for per_page in want for cards in per_page) > 300
+
+
+def test_landed_events_are_compressed_in_bounded_files(spark, tmp_path, monkeypatch):
+    from postloom.sources import events
+
+    monkeypatch.setattr(events, "EVENTS_PER_FILE", 40)
+    rows = spark.range(100).selectExpr("CAST(id AS STRING) AS event_id", "repeat('a ', 50) AS company").coalesce(1)
+    events.write_events(rows, f"{tmp_path}/land")
+    assert len(list((tmp_path / "land").glob("*.json.gz"))) == 3
+    assert events.read_posting_events(spark, f"{tmp_path}/land").select("event_id").distinct().count() == 100
+
+
+def test_only_texts_that_may_be_lists_are_read_as_json(spark):
+    page = ('<script type="application/ld+json">{broken</script>'
+            '<script type="application/ld+json">{"@type":"\\u0049temList","itemListElement":[{"position":1,"name":"escaped"}]}</script>'
+            '<script type="application/ld+json">{"@type":"ItemList","itemListElement":[{"position":2,"name":"plain"}]}</script>')
+    titles = feeds.jsonld_titles(F.col("page"))
+    assert [tuple(t) for t in spark.createDataFrame([(page,)], "page string").select(titles).first()[0]] == [(1, "escaped"), (2, "plain")]

@@ -9,10 +9,12 @@ the encoding.) The best path is the library's result for either kind of model.
 A text of more than ``GIANT`` characters is split into chunks of ``CHUNK``. The state at a boundary is the piece that covers the
 last character before it. Each chunk yields the transfer matrix from its entry to its exit states; matrices
 of a text are multiplied in the max-plus sense, which fixes the state at every boundary; then every chunk
-is traced back on its own. A shorter text is one chunk, whose only entry and exit are the text's ends.
+is traced back on its own.
 
 Where no piece of the vocabulary can pass (before a space that follows another character, beside a line end),
-all paths meet, so inside a chunk the parts between such cuts are solved once per distinct part.
+all paths meet: the matrix of the part between two such cuts has one entry and one exit, so the best path of a text
+is that of its parts. A shorter text, and the inside of a chunk, is scanned part by part; the max-plus step and the
+trace of a part are done once per distinct part, while it is kept.
 
 Cases: null and empty texts have no ids; characters outside the vocabulary become bytes; a space sign (U+2581)
 in a text decodes as a space; repeated rows are encoded one by one; an empty table gives no rows; other columns
@@ -23,7 +25,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -37,8 +38,8 @@ from postloom.llm.common import materialise, query, small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK = 65536, 16384
-#: Parts and pairs whose solutions a task keeps at a time; rows sent on together.
-KEPT_PARTS, KEPT_PAIRS, ROWS = 300_000, 300_000, 128
+#: Parts of a generation and pairs whose solutions a Python worker keeps; rows sent on together.
+KEPT_PARTS, KEPT_PAIRS, ROWS = 50_000, 150_000, 128
 SPACE = "▁"
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -69,12 +70,6 @@ class Pieces:
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p, re.S) for p in plain)
         self.out = [p.piece.replace(SPACE, " ").encode() if p.type in (1, 4) else bytes([int(p.piece[3:5], 16)])
                     if p.type == 6 else " ⁇ ".encode() if p.type == 2 else b"" for p in model.pieces]
-        # Every prefix of a piece with the longest piece that begins it, and each piece's next shorter one.
-        self.begun = {p[:i]: -1 for p in plain for i in range(1, len(p) + 1)}
-        for p in sorted(self.begun, key=len):
-            self.begun[p] = plain.get(p, self.begun.get(p[:-1], -1))
-        self.shorter = [self.begun.get(p.piece[:-1], -1) if p.piece in plain else -1 for p in model.pieces]
-        self.length = [len(p.piece) if p.piece in plain else 1 for p in model.pieces]
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
 
@@ -145,70 +140,31 @@ class Pieces:
         return ids[::-1]
 
     def part(self, text: str) -> bytes:
-        """Ids (int32) of a text whose ends are cuts."""
-        if not self.unigram:
-            return self._only_path(text)
+        """Ids (int32) of a text whose ends are cuts: the max-plus step from one to the other, then the trace."""
         reached = self.forward(text, 0, None, len(text))
         states = reached[len(text)]
         return np.array(self.trace(text, reached, len(text), max(states, key=lambda s: states[s][0])), np.int32).tobytes()
 
-    def _only_path(self, text: str) -> bytes:
-        """As ``forward`` and ``trace``, for BPE, where one path alone is above minus infinity.
-
-        The longest piece that may follow is tried first. As the pieces before a place are the encoding of the text
-        before it, a place from which no piece leads on is dead for good.
-        """
-        begun, shorter, length, pairs, n = self.begun, self.shorter, self.length, self.pairs, len(text)
-        out: list[int] = []
-        dead: set[int] = set()
-        i, before, piece = 0, None, None
-        while i < n:
-            if piece is None:
-                piece, j = -1, i + 1
-                while j <= n and (found := begun.get(text[i:j])) is not None:
-                    piece = found
-                    j += 1
-                if piece < 0:
-                    piece = self.unknown
-            while piece >= 0:
-                if i + length[piece] not in dead:
-                    good = None if before is None else pairs.get(before << 32 | piece)
-                    if self.follows(before, piece) if good is None else good:
-                        break
-                piece = shorter[piece]
-            if piece >= 0:
-                out.append(piece)
-                before, i, piece = piece, i + length[piece], None
-            else:
-                dead.add(i)
-                piece = out.pop()
-                i -= length[piece]
-                before, piece = out[-1] if out else None, shorter[piece]
-        if self.unknown in out and self.bytes:
-            return self._with_bytes(text, out)
-        return array("i", out).tobytes()
-
-    def _with_bytes(self, text: str, path: list[int]) -> bytes:
-        out, i = array("i"), 0
-        for piece in path:
-            if piece == self.unknown:
-                out.extend(self.bytes[b] for b in text[i].encode("utf-8"))
-            else:
-                out.append(piece)
-            i += self.length[piece]
-        return out.tobytes()
-
 
 class Parts(dict):
-    """Solved parts; emptied when full. ``prefix`` comes before each key."""
+    """Solved parts. ``prefix`` comes before each key.
+
+    When full, they become the older generation and the one before is forgotten; a part that is met again moves up, so
+    frequent parts stay and rare ones don't pile up in a worker that lives on.
+    """
 
-    def __init__(self, pieces: Pieces, prefix: str = "") -> None:
-        self.pieces, self.prefix = pieces, prefix
+    def __init__(self, pieces: Pieces, prefix: str = "", most: int = KEPT_PARTS) -> None:
+        self.pieces, self.prefix, self.most = pieces, prefix, most
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= KEPT_PARTS:
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = self[key] = self.pieces.part(self.prefix + key)
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.pieces.part(self.prefix + key)
+        self[key] = ids
         return ids
 
 

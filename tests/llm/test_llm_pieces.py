@@ -77,6 +77,23 @@ def test_products_are_associative(encoder):
         pieces.product(ms[0], pieces.product(ms[1], ms[2])), ms[3])
 
 
+def test_short_texts_are_solved_by_the_max_plus_step(library, monkeypatch):
+    with open(pieces.MODEL, "rb") as file:
+        fresh = pieces.Encoder(file.read())
+    solved, step = [], pieces.Pieces.forward
+    monkeypatch.setattr(pieces.Pieces, "forward", lambda self, text, *a: solved.append(text) or step(self, text, *a))
+    text = "some words, some words\nof a shorter \U0001d518 text"
+    assert np.frombuffer(fresh.encode(text), np.int32).tolist() == library.encode(text)
+    assert {"\u2581some", "\u2581words", "\u2581\U0001d518"} <= set(solved) and len(solved) == len(set(solved))
+
+
+def test_few_parts_are_kept(encoder, library):
+    parts = pieces.Parts(encoder.pieces, pieces.SPACE, most=3)
+    for word in ["the", "of", "the", "and", "the", "or", "the", "if", "the", "so", "of"] * 5:
+        assert np.frombuffer(parts[word], np.int32).tolist() == library.encode(word)
+        assert len(parts) <= 3 and len(parts.older) <= 3
+
+
 def test_encode_odd_rows(spark, odd, nothing, library):
     got = pieces.encode(odd, chunk=700, giant=1000, check=True).collect()
     assert Counter((r["doc_id"], tuple(r["token_ids"])) for r in got) == Counter((i, tuple(library.encode(t or ""))) for i, t, *_ in odd_rows())

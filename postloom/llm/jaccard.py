@@ -155,7 +155,7 @@ def _spread(ranges: int, counters: int, read):
                     cls.append(c)
                     tokens.append(t)
                     size += len(t)
-                if size > 8_000_000 or len(cls) == 2**16:
+                if size > 4_000_000 or len(cls) == 2**16:
                     yield from emit(cls, tokens)
                     cls, tokens, size = [], [], 0
         if size:
@@ -325,7 +325,7 @@ def _meetings(group: pa.Table) -> pa.Table:
     start = np.searchsorted(holder, np.arange(len(often) + 1))
     many = (start[1:] - start[:-1])[token]
     found = []
-    bounds = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + 1, 1_000_000)) if len(many) else []
+    bounds = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + 1, 250_000)) if len(many) else []
     for s, e in zip(bounds, [*bounds[1:], len(many)], strict=True):
         rep = many[s:e]
         at = np.repeat(start[token[s:e]] - np.r_[0, np.cumsum(rep)[:-1]], rep) + np.arange(rep.sum())

@@ -37,8 +37,11 @@ from postloom.llm.shingles import WordCodes, shingle_set
 PERCENT = 75
 #: Part of the code space whose tokens bound a set before its other tokens are looked at.
 LOW_PART = 0.35
-#: Tokens of one range of the code space, members and tokens of one group, tokens of a group's queries in a task.
-RANGE_TOKENS = 500_000
+#: Tokens of one range of the code space, of the sets that go to the matrix together, members and tokens of one group, tokens of a
+#: group's queries in a task.
+RANGE_TOKENS, MATRIX_TOKENS = 500_000, 400_000
+#: Meetings of a token of a set with a group that are counted together.
+MEETINGS = 250_000
 GROUP_SETS, GROUP_TOKENS = 2048, 1_000_000
 QUERY_TOKENS = 2_000_000
 #: Rows that leave a task together.
@@ -286,7 +289,7 @@ def _matrix_rows(ranges: int, often: np.ndarray, places: int):
                 for x, y in zip(held, (tokens[:n - least_shared(n) + max(1, n // 2)], cls, grp, least_hits(n)), strict=True):
                     x.append(y)
                 size += n
-                if size > 1_000_000 or len(held[1]) == 2**16:
+                if size > MATRIX_TOKENS or len(held[1]) == 2**16:
                     yield from emit(*held)
                     held, size = ([], [], [], []), 0
         if size:
@@ -299,43 +302,50 @@ _PAIR = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("from_one", pa.bin
 _OPEN = pa.schema([("cls", pa.int64()), ("grp", pa.int64())])
 
 
-def _meetings(group: pa.Table) -> pa.Table:
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many tokens of this range each set has in common with each group, by pair of groups.
 
-    A side of a pair is rows of (set, hits, least hits); a group with itself has one side.
+    A side of a pair is rows of (set, hits, least hits); a group with itself has one side. Sets are counted and sent on some at a
+    time, as in a family of near copies the counts are as many as its sets times its groups; a pair may have several rows.
     """
-    cols = [c.to_pylist() for c in group.columns]
+    cols = [c.to_pylist() for c in pa.Table.from_batches(batches).columns]
     tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in cols[1]])
     raw = np.concatenate([np.frombuffer(x, np.int64) for x in cols[2]])
     info = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in cols[4]], axis=1)
     names, first, place = np.unique(raw, return_index=True, return_inverse=True)
     shift = np.cumsum([0, *(len(x) // 8 for x in cols[2])])
-    sets = place[np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + k for x, k in zip(cols[3], shift[:-1], strict=True)])]
+    sets = place.astype(np.int32)[np.concatenate([np.frombuffer(x, np.uint16) + np.int32(k) for x, k in zip(cols[3], shift[:-1], strict=True)])]
     groups, home = np.unique(info[0][first], return_inverse=True)
     least, wide = info[1][first], len(groups)
+    del cols, raw, info, place
     order = np.argsort(tokens, kind="stable")
     tokens, sets = tokens[order], sets[order]
     cut = np.r_[True, tokens[1:] != tokens[:-1]]
     often = np.diff(np.r_[np.flatnonzero(cut), len(tokens)])
-    token = np.cumsum(cut) - 1
+    token = np.cumsum(cut, dtype=np.int32) - np.int32(1)
     kept = often[token] > 1
     token, sets = token[kept], sets[kept]
-    held, members = np.unique(token * wide + home[sets], return_counts=True)
+    del order, tokens, cut, kept
+    held, members = np.unique(token.astype(np.int64) * wide + home[sets], return_counts=True)
     holder, owner = held // wide, held % wide
     start = np.searchsorted(holder, np.arange(len(often) + 1))
     many = (start[1:] - start[:-1])[token]
-    found = []
-    bounds = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + 1, 250_000)) if len(many) else []
-    for s, e in zip(bounds, [*bounds[1:], len(many)], strict=True):
+    order = np.lexsort((sets, home[sets]))
+    token, sets, many = token[order], sets[order], many[order]
+    fresh = np.flatnonzero(np.r_[True, sets[1:] != sets[:-1]]) if len(sets) else np.empty(0, int)
+    block = (np.cumsum(many) - many)[fresh] // MEETINGS
+    cuts = fresh[np.r_[True, block[1:] != block[:-1]]] if len(sets) else fresh
+    for s, e in zip(cuts, [*cuts[1:], len(sets)], strict=True) if len(sets) else ():
         rep = many[s:e]
         at = np.repeat(start[token[s:e]] - np.r_[0, np.cumsum(rep)[:-1]], rep) + np.arange(rep.sum())
-        x = np.repeat(sets[s:e], rep)
+        x = np.repeat(sets[s:e].astype(np.int64), rep)
         met = (owner[at] != home[x]) | (members[at] > 1)  # a set alone in its group does not meet itself
-        found.append(np.unique(x[met] * wide + owner[at][met], return_counts=True))
-    if not found:
-        return pa.table([pa.array([], f.type) for f in _PAIR], schema=_PAIR)
-    keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-    hits = np.bincount(back, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+        yield from _sides(*np.unique(x[met] * wide + owner[at][met], return_counts=True), wide, home, groups, names, least)
+
+
+def _sides(keys: np.ndarray, hits: np.ndarray, wide: int, home: np.ndarray, groups: np.ndarray, names: np.ndarray,
+           least: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows by pair of groups of hits by set and group (a key is set * wide + group)."""
     x, other = keys // wide, keys % wide
     one, two = np.minimum(home[x], other), np.maximum(home[x], other)
     order = np.lexsort((two, one))
@@ -346,7 +356,7 @@ def _meetings(group: pa.Table) -> pa.Table:
         side = np.stack([names[x[s:e]], hits[s:e], least[x[s:e]]], axis=1)
         left = home[x[s:e]] == one[s]
         rows.append((int(groups[one[s]]), int(groups[two[s]]), side[left].tobytes(), side[~left].tobytes()))
-    return pa.Table.from_batches(list(_chunks(rows, _PAIR)), schema=_PAIR)
+    yield from _chunks(rows, _PAIR)
 
 
 def _openings(group: pa.Table) -> pa.Table:
@@ -473,7 +483,7 @@ def memberships(docs: DataFrame) -> DataFrame:
     counted, often, places = shared_counts(full.select("cls", "tokens"), total, _u64, "jaccard-full-shared")
     groups = token_groups(_linkable(full, counted, "n"))
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    ranges = max(8, -(-total // (2 * RANGE_TOKENS)))
+    ranges = max(8, -(-total // RANGE_TOKENS))
     openings = groups.mapInArrow(_matrix_rows(ranges, often, places), _ddl(_CHUNK)).groupBy("part").applyInArrow(
         _meetings, _ddl(_PAIR)).groupBy("one", "two").applyInArrow(_openings, _ddl(_OPEN))
     opened = materialise(openings, "jaccard-openings")

@@ -1,9 +1,11 @@
 """Sharding, mixing, classifier and Jaccard join against brute force and on odd rows."""
 
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +278,25 @@ def test_sharding_against_the_map(spark):
     shard = {e[0]: e[1] for e in entries}
     assert {e[0]: e[2] for e in entries if e[2]} == dict(held) and set(shard) == set(range(sharding.SLOTS))
     assert all(r["shard"] == shard[slot[r["doc_id"]]] for r in rows) and len(rows) == len(slot)
+
+
+def test_meetings_of_near_copies_in_many_groups_are_counted_some_at_a_time():
+    groups, per, tokens = 100, 10, 50
+    sets = np.arange(groups * per)
+    one = np.tile(np.arange(tokens, dtype=np.uint32) * 7, len(sets))
+    batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((
+        [3], [one.tobytes()], [(sets + 1000).tobytes()], [np.repeat(sets, tokens).astype(np.uint16).tobytes()],
+        [np.concatenate([sets // per - 50, np.full(len(sets), 7)]).tobytes()]), jaccard._CHUNK, strict=True)], schema=jaccard._CHUNK)
+    met, most = {}, 0
+    tracemalloc.start()
+    for rows in jaccard._meetings(iter([batch])):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        for a, b, *sides in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            for home, other, side in zip((a, b), (b, a), sides, strict=True):
+                for name, hits, least in np.frombuffer(side, np.int64).reshape(-1, 3).tolist():
+                    assert (name - 1000) // per - 50 == home and least == 7
+                    met[name, other] = met.get((name, other), 0) + hits
+        tracemalloc.clear_traces()
+    tracemalloc.stop()
+    assert met == {(name + 1000, g - 50): tokens for name in sets.tolist() for g in range(groups)}
+    assert most < 40_000_000

@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -94,6 +95,36 @@ def test_few_parts_are_kept(encoder, library):
         assert len(parts) <= 3 and len(parts.older) <= 3
 
 
+@pytest.mark.parametrize("block", [1, 40, 1 << 17])
+def test_a_batch_takes_the_step_side_by_side(library, monkeypatch, block):
+    with open(pieces.MODEL, "rb") as file:
+        fresh = pieces.Encoder(file.read())
+    alone, step = [], pieces.Pieces.forward
+    monkeypatch.setattr(pieces.Pieces, "forward", lambda self, text, *a: alone.append(text) or step(self, text, *a))
+    monkeypatch.setattr(pieces, "SIDE_CHARS", block)
+    texts = [*samples(), None, "", *samples()]
+    assert [np.frombuffer(x, np.int32).tolist() for x in fresh.encode_all(texts)] == [library.encode(t or "") for t in texts]
+    assert all(len(part) > pieces.SIDE_PART for part in alone)
+
+
+def test_pairs_by_courses_of_merges(encoder):
+    rnd, model = random.Random(2), encoder.pieces
+    pairs = [(p[:k], p[k:]) for p in rnd.sample(sorted(model.ids), 3000) for k in range(1, len(p)) if p[:k] in model.ids and p[k:] in model.ids]
+    pairs += [(rnd.choice(pairs)[1], rnd.choice(pairs)[0]) for _ in range(10000)]
+    fits = [model.fits(model.ids[a], model.ids[b]) for a, b in pairs]
+    assert fits == [model.merged(a + b) == [a, b] for a, b in pairs] and 0 < sum(fits) < len(fits)
+
+
+def test_a_worker_keeps_no_solutions_after_a_task():
+    with open(pieces.MODEL, "rb") as file:
+        run = pieces._encode_short(file.read(), True)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words\nin a text", "x" * 300])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in run(iter([batch]))) == 2
+    with open(pieces.MODEL, "rb") as file:
+        left = pieces._loaded(file.read())
+    assert not any((left.parts, left.parts.older, left.words, left.words.older, left.pieces.pairs))
+
+
 def test_encode_odd_rows(spark, odd, nothing, library):
     got = pieces.encode(odd, chunk=700, giant=1000, check=True).collect()
     assert Counter((r["doc_id"], tuple(r["token_ids"])) for r in got) == Counter((i, tuple(library.encode(t or ""))) for i, t, *_ in odd_rows())

@@ -3,8 +3,8 @@
 1. Texts become sets of shingle codes. Equal sets form a class; one set per class goes on.
 2. A set can only link if three quarters of its tokens occur in other sets. This is bounded first on the
    tokens of the lowest codes (cheap, no second reading of text), then on all tokens of the sets left.
-3. The sets left are sorted by their lowest codes and cut into groups of similar sets. The matrix holds, by
-   token, the sets with that token in their head (the rarest three quarters) and their groups. It tells how many head
+3. The sets left are sorted by their lowest codes and cut into groups of similar sets, as many as the sets and their
+   tokens need, whatever the partitions. The matrix holds, by token, the sets with that token in their head (the rarest three quarters) and their groups. It tells how many head
    tokens of a set the union of a group has; a set opens a group only if these reach the bound for any link.
 4. An opened group bounds the overlap of the query with the union of its members' tokens and compares
    members only if the bound reaches the threshold. Links leave as a spanning forest and as counts.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom.llm.common import few, join_one, keyed, materialise, on_key, query, small_batches, table
@@ -235,29 +235,37 @@ def _linkable(sets: DataFrame, counted: DataFrame, known: str) -> DataFrame:
         F.expr(f"100 * (n - {known} + coalesce(shared, 0)) >= {PERCENT} * n")).drop("shared")
 
 
-_GROUPED = "grp long, cls long, n long, tokens binary"
+_ORDERED = "piece long, cls long, n long, tokens binary, sets_before long, tokens_before long"
 
 
-def _cut_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets in order to groups of bounded members and tokens; a group is named by its first set."""
-    name, members, size = None, 0, 0
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets in order with the number of sets and of tokens before each in its piece."""
+    members, size = 0, 0
     for batch in batches:
-        groups = []
-        for cls, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if name is None or members >= GROUP_SETS or size + n > GROUP_TOKENS:
-                name, members, size = cls, 0, 0
-            members, size = members + 1, size + n
-            groups.append(name)
-        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), *(batch.column(i) for i in range(3))],
-                                         names=["grp", "cls", "n", "tokens"])
+        upto = size + np.cumsum(batch.column(2).to_numpy())
+        before = [np.arange(members, members + batch.num_rows), np.r_[size, upto[:-1]][:batch.num_rows]]
+        members, size = members + batch.num_rows, int(upto[-1]) if len(upto) else size
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in before)],
+                                         names=[*batch.schema.names, "sets_before", "tokens_before"])
 
 
 def token_groups(core: DataFrame) -> DataFrame:
-    """(grp, cls, n, tokens): sets ordered by their lowest codes (similar sets mostly share these), then cut."""
+    """(grp, cls, n, tokens): sets ordered by their lowest codes (similar sets mostly share these), then cut.
+
+    Ranges of the order are sorted by many tasks and written once; a cut counts the sets and tokens of all ranges before
+    it, so a group goes on over the end of a range, and there is one per GROUP_SETS sets and one per GROUP_TOKENS tokens.
+    """
     order = [F.substring("tokens", 1, 8), F.substring("tokens", 9, 8), F.col("cls")]
     parts = max(1, -(-core.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"] // (2 * GROUP_TOKENS)))
     ranged = core.select("cls", "n", "tokens").repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
-    return materialise(ranged.mapInArrow(_cut_groups, _GROUPED), "jaccard-groups")
+    placed = materialise(ranged.select(F.spark_partition_id().cast("long").alias("piece"), "cls", "n", "tokens").mapInArrow(
+        _running, _ORDERED), "jaccard-groups")
+    pieces = placed.groupBy("piece").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
+    upto = Window.orderBy("piece")
+    starts = materialise(pieces.select("piece", (F.sum("sets").over(upto) - F.col("sets")).alias("sets_at"),
+                                       (F.sum("size").over(upto) - F.col("size")).alias("tokens_at")), "jaccard-pieces")
+    cuts = f"(sets_at + sets_before) div {GROUP_SETS} + (tokens_at + tokens_before) div {GROUP_TOKENS}"  # rises at each cut
+    return placed.join(few(starts), "piece").select(F.expr(cuts).alias("grp"), "cls", "n", "tokens")
 
 
 def _matrix_rows(ranges: int, often: np.ndarray, places: int):
@@ -305,8 +313,9 @@ _OPEN = pa.schema([("cls", pa.int64()), ("grp", pa.int64())])
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many tokens of this range each set has in common with each group, by pair of groups.
 
-    A side of a pair is rows of (set, hits, least hits); a group with itself has one side. Sets are counted and sent on some at a
-    time, as in a family of near copies the counts are as many as its sets times its groups; a pair may have several rows.
+    A side of a pair is rows of (set, hits, least hits); a group with itself has one side. In a family of near copies the counts are
+    as many as its sets times its groups, so whole groups are counted with some groups at a time and sent on: each group has one
+    row with each group that it meets, or half of one, however many sets they hold.
     """
     cols = [c.to_pylist() for c in pa.Table.from_batches(batches).columns]
     tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in cols[1]])
@@ -332,15 +341,19 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     many = (start[1:] - start[:-1])[token]
     order = np.lexsort((sets, home[sets]))
     token, sets, many = token[order], sets[order], many[order]
-    fresh = np.flatnonzero(np.r_[True, sets[1:] != sets[:-1]]) if len(sets) else np.empty(0, int)
+    fresh = np.flatnonzero(np.r_[True, home[sets[1:]] != home[sets[:-1]]]) if len(sets) else np.empty(0, int)
     block = (np.cumsum(many) - many)[fresh] // MEETINGS
     cuts = fresh[np.r_[True, block[1:] != block[:-1]]] if len(sets) else fresh
     for s, e in zip(cuts, [*cuts[1:], len(sets)], strict=True) if len(sets) else ():
-        rep = many[s:e]
-        at = np.repeat(start[token[s:e]] - np.r_[0, np.cumsum(rep)[:-1]], rep) + np.arange(rep.sum())
-        x = np.repeat(sets[s:e].astype(np.int64), rep)
-        met = (owner[at] != home[x]) | (members[at] > 1)  # a set alone in its group does not meet itself
-        yield from _sides(*np.unique(x[met] * wide + owner[at][met], return_counts=True), wide, home, groups, names, least)
+        asked, back = np.unique(token[s:e].astype(np.int64), return_inverse=True)
+        parts = min(wide, -(-int(many[s:e].sum()) // MEETINGS))
+        edges = [np.searchsorted(held, asked * wide + k * wide // parts) for k in range(parts + 1)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            rep = (high - low)[back]
+            at = np.repeat(low[back] - np.r_[0, np.cumsum(rep)[:-1]], rep) + np.arange(rep.sum())
+            x = np.repeat(sets[s:e].astype(np.int64), rep)
+            met = (owner[at] != home[x]) | (members[at] > 1)  # a set alone in its group does not meet itself
+            yield from _sides(*np.unique(x[met] * wide + owner[at][met], return_counts=True), wide, home, groups, names, least)
 
 
 def _sides(keys: np.ndarray, hits: np.ndarray, wide: int, home: np.ndarray, groups: np.ndarray, names: np.ndarray,

@@ -300,3 +300,65 @@ def test_meetings_of_near_copies_in_many_groups_are_counted_some_at_a_time():
     tracemalloc.stop()
     assert met == {(name + 1000, g - 50): tokens for name in sets.tolist() for g in range(groups)}
     assert most < 40_000_000
+
+
+def test_meetings_of_a_family_have_rows_by_its_groups_however_many_its_sets():
+    groups, tokens, rows = 20, 50, {}
+    for per in (30, 400):
+        sets = np.arange(groups * per)
+        batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((
+            [3], [np.tile(np.arange(tokens, dtype=np.uint32), len(sets)).tobytes()], [sets.tobytes()],
+            [np.repeat(sets, tokens).astype(np.uint16).tobytes()],
+            [np.concatenate([sets // per, np.full(len(sets), 7)]).tobytes()]), jaccard._CHUNK, strict=True)], schema=jaccard._CHUNK)
+        rows[per], met = 0, Counter()
+        for part in jaccard._meetings(iter([batch])):
+            rows[per] += part.num_rows
+            for a, b, *sides in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for other, side in zip((b, a), sides, strict=True):
+                    for name, hits, _ in np.frombuffer(side, np.int64).reshape(-1, 3).tolist():
+                        met[name, other] += hits
+        assert met == {(name, g): tokens for name in sets.tolist() for g in range(groups)}
+    assert rows[30] <= rows[400] <= groups * groups
+
+
+def test_groups_follow_from_the_sets_not_from_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 100)
+    monkeypatch.setattr(jaccard, "GROUP_TOKENS", 5000)
+    frame = type(spark.range(0))
+    plain = frame.repartitionByRange
+    draw = np.random.default_rng(8)
+    sets = [np.sort(draw.integers(0, 2**63, int(draw.integers(1, 60))).astype(np.uint64)) for _ in range(700)]
+    core = spark.createDataFrame([(k, len(x), bytearray(x.tobytes())) for k, x in enumerate(sets)], "cls long, n long, tokens binary")
+    by_parts = []
+    for parts in (1, 40):
+        monkeypatch.setattr(frame, "repartitionByRange", lambda df, n, *cols, parts=parts: plain(df, parts, *cols))
+        found = [(r["grp"], r["cls"], bytes(r["tokens"])) for r in jaccard.token_groups(core).collect()]
+        assert sorted((c, t) for _, c, t in found) == [(k, x.tobytes()) for k, x in enumerate(sets)]
+        by_parts.append(sorted(found))
+    assert by_parts[0] == by_parts[1]
+    held, size = Counter(g for g, *_ in found), Counter()
+    for g, _, t in found:
+        size[g] += len(t) // 8
+    assert max(held.values()) <= 100 and max(size.values()) < 5060 and len(held) <= 700 // 100 + sum(map(len, sets)) // 5000 + 1
+    ends = sorted((min(t[:16] for h, _, t in found if h == g), max(t[:16] for h, _, t in found if h == g)) for g in held)
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_jaccard_families_over_groups_and_partitions(spark, monkeypatch):
+    """Links within and between groups that go on over the ends of partitions, some of which hold no set."""
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 7)
+    frame = type(spark.range(0))
+    plain = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, n, *cols: plain(df, 30, *cols))
+    draw = np.random.default_rng(9)
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(90)]
+        for copy in range(9):
+            text = list(base)
+            for at in draw.integers(0, 90, int(draw.integers(0, 4))):
+                text[at] = f"c{copy}"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.jaccard_join(docs).collect())) == brute_components(rows)
+    assert jaccard.jaccard_join(docs.limit(0)).collect() == []

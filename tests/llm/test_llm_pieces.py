@@ -141,6 +141,11 @@ def test_query_matches_the_library(spark, library):
     assert all(r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) for r in got)
 
 
+def test_pipeline_decodes_what_it_encodes(spark, odd):
+    rows = corpus_pipeline.encoding(spark, odd, SF).collect()
+    assert len(rows) == len(odd_rows()) and all(r["round_trip"] is True for r in rows) and max(r["n_chunks"] for r in rows) > 1
+
+
 def test_pipeline_stage_by_stage(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.common import materialise, query, table
-from postloom.llm.vectors import PACK_ROWS, SHARD_ROWS, finite, packed, pairs, ranked, search_pairs
+from postloom.llm.vectors import PACK_ROWS, SHARD_ROWS, finite, matrix, packed, pairs, ranked, search_pairs
 
 SAMPLE = 20_000
 ROUNDS = 20
@@ -104,6 +104,19 @@ def usable(vectors: DataFrame) -> DataFrame:
         "embedding", lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
+def _sample(rows: DataFrame, width: int, most: int = SAMPLE) -> np.ndarray:
+    """The first ``most`` vectors by the hash of their id; a row of zeros if there are none.
+
+    The last hash is found first, on executors and from hashes alone: a limit that is collected sends that many vectors of every partition.
+    """
+    place = F.xxhash64("vec_id")
+    last = rows.select(place.alias("place")).orderBy("place").limit(most).agg(F.max("place").alias("last")).first()["last"]
+    if last is None:
+        return np.zeros((1, width))
+    first = rows.filter(place <= last).orderBy(place, "vec_id").limit(most).select("vector").toArrow()
+    return np.vstack([matrix(chunk, width) for chunk in first.column("vector").chunks])
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest by Euclidean distance that the index retrieves.
 
@@ -112,23 +125,19 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
     width, asked = max(1, size["width"]), queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
-    held = np.zeros((max(1, len(sample)), width))
-    for i, r in enumerate(sample):
-        held[i, :len(r["vector"])] = r["vector"]
-    mean, projection = learn_rotation(held)
-    shards, n_shards = packed(rows, width, size["n"], SHARD_ROWS, [F.xxhash64("vec_id"), F.col("vec_id")], "ann-shards")
+    mean, projection = learn_rotation(_sample(rows, width))
+    shards = packed(rows, width, size["n"], SHARD_ROWS, [F.xxhash64("vec_id"), F.col("vec_id")], "ann-shards")
     n_asked = asked.count()
-    packs, n_packs = packed(asked, width, n_asked, PACK_ROWS, [F.col("vec_id")], "ann-queries")
-    met = pairs(shards, n_shards, packs, n_packs)
+    packs = packed(asked, width, n_asked, PACK_ROWS, [F.col("vec_id")], "ann-queries")
+    met = pairs(shards, packs)
     found = materialise(ranked(search_pairs(met, hash_search(k, mean, projection), "double"), k, F.col("score")), "ann-found")
     own = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"))
     short = asked.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("got")), F.col("vec_id") == F.col("query_id"), "left").join(
         own, "vec_id").filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.lit(size["n"]) - F.col("own"))).select("vec_id", "vector")
-    again, n_again = packed(short, width, n_asked, PACK_ROWS, [F.col("vec_id")], "ann-again")
+    again = packed(short, width, n_asked, PACK_ROWS, [F.col("vec_id")], "ann-again")
     if again.isEmpty():
         return found
-    wide = search_pairs(pairs(shards, n_shards, again, n_again), hash_search(k, mean, projection, 8, BITS), "double")
+    wide = search_pairs(pairs(shards, again), hash_search(k, mean, projection, 8, BITS), "double")
     return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(
         ranked(wide, k, F.col("score")))
 

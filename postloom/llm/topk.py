@@ -94,9 +94,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     weight = F.transform("vector", lambda x, i: F.struct(F.abs(x).alias("w"), (2 * i + F.when(x < 0, 1).otherwise(0)).alias("term")))
     heavy = F.sort_array(weight, asc=False)
     keyed = rows.withColumn("first", F.get(heavy, 0)["term"]).withColumn("second", F.get(heavy, 1)["term"])
-    shards, n_shards = packed(keyed, size["width"], size["n"], SHARD_ROWS, [F.col("first"), F.col("second"), F.col("vec_id")], "topk-shards")
-    packs, n_packs = packed(asked, size["width"], asked.count(), PACK_ROWS, [F.col("vec_id")], "topk-queries")
-    return ranked(search_pairs(pairs(shards, n_shards, packs, n_packs), block_search(k), "long"), k, F.col("score").desc())
+    shards = packed(keyed, size["width"], size["n"], SHARD_ROWS, [F.col("first"), F.col("second"), F.col("vec_id")], "topk-shards")
+    packs = packed(asked, size["width"], asked.count(), PACK_ROWS, [F.col("vec_id")], "topk-queries")
+    return ranked(search_pairs(pairs(shards, packs), block_search(k), "long"), k, F.col("score").desc())
 
 
 def quantised(vectors: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Vectors of a table in shards and queries in packs, met pair by pair.
 
-A shard holds about ``SHARD_ROWS`` vectors, a pack at most ``PACK_ROWS`` queries. Every shard meets every pack in
-one row of a join on both numbers, so each task holds one shard and one pack of fixed size, whatever the table's
+A shard holds about ``SHARD_ROWS`` vectors, a pack about ``PACK_ROWS`` queries, both less than twice as many. Every shard meets
+every pack in one row of a product of their files, so Python holds one shard and one pack at a time, whatever the table's
 size. Vectors of different length count as filled up with zeros.
 """
 
@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,8 @@ from postloom.llm.common import materialise, small_batches
 
 SHARD_ROWS = 4096
 PACK_ROWS = 2048
+#: Ranges of a table. Spark finds their bounds on the driver, from rows in proportion to their number.
+MOST_RANGES = 1000
 
 _PACKED = "ids binary, vectors binary"
 
@@ -46,17 +47,16 @@ def read_packed(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _pack(width: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, rows = np.empty(0, np.int64), np.empty((0, width))
-        part = TaskContext.get().partitionId()
 
         def row(n: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([names[:n].tobytes()], pa.binary()),
-                 pa.array([np.ascontiguousarray(rows[:n]).tobytes()], pa.binary())], names=["part", "ids", "vectors"])
+                [pa.array([names[:n].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(rows[:n]).tobytes()], pa.binary())],
+                names=["ids", "vectors"])
 
         for batch in batches:
             names = np.r_[names, batch.column(0).to_numpy()]
             rows = np.vstack([rows, matrix(batch.column(1), width)])
-            while len(names) >= most:
+            while len(names) >= 2 * most:
                 yield row(most)
                 names, rows = names[most:], rows[most:]
         if len(names):
@@ -65,21 +65,21 @@ def _pack(width: int, most: int):
     return run
 
 
-def packed(rows: DataFrame, width: int, count: int, most: int, order: list[Column], purpose: str) -> tuple[DataFrame, int]:
-    """(part, ids, vectors) of ``rows(vec_id, vector)`` in ``order``, in parts of about ``most``; how many parts."""
-    parts = max(1, -(-count // most))
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("vec_id", "vector")
-    held = materialise(ranged.mapInArrow(_pack(width, 2 * most), f"part int, {_PACKED}"), purpose)
-    return held, held.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1
+def packed(rows: DataFrame, width: int, count: int, most: int, order: list[Column], purpose: str) -> DataFrame:
+    """(ids, vectors) of ``rows(vec_id, vector)`` in ``order``, in parts of about ``most``."""
+    ranges = max(1, min(-(-count // most), MOST_RANGES))
+    ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("vec_id", "vector")
+    return materialise(ranged.mapInArrow(_pack(width, most), _PACKED), purpose)
 
 
-def pairs(shards: DataFrame, n_shards: int, packs: DataFrame, n_packs: int) -> DataFrame:
-    """One row for each shard and pack: (ids, vectors, query_ids, queries)."""
-    left = shards.select(F.col("part").alias("shard"), "ids", "vectors",
-                         F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1))).alias("pack"))
-    right = packs.select(F.col("part").alias("pack"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"),
-                         F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
-    return left.join(right, ["shard", "pack"]).select("ids", "vectors", "query_ids", "queries")
+def pairs(shards: DataFrame, packs: DataFrame) -> DataFrame:
+    """One row for each shard and pack: (ids, vectors, query_ids, queries).
+
+    A product of the files of both, some packs at a time in a task: a join on numbers would need a copy of each shard per pack
+    and of each pack per shard, and Spark would broadcast the copies by the size of the few packs that they are made from.
+    """
+    asked = packs.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    return shards.select("ids", "vectors").hint("shuffle_replicate_nl").crossJoin(asked)
 
 
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]

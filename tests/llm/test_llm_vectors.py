@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from postloom.llm import ann, topk
+from postloom.llm import ann, topk, vectors
 from postloom.llm.catalog import QUERIES
 from llm_helpers import SF
 
@@ -94,3 +94,38 @@ def test_smallest_vector_of_a_query_id_is_asked(spark):
 
 def test_queries_run_on_the_small_table(spark):
     assert QUERIES["op3_exact_topk"](spark, SF).count() == 50 and QUERIES["op6_approximate_neighbours"](spark, SF).count() == 50
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shards_and_packs_are_not_copied(spark):
+    width, rnd = 3, np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rnd.normal(size=width).tolist()) for i in range(500)], "vec_id long, vector array<double>").cache()
+    order = [rows["vec_id"]]
+    shards, packs = vectors.packed(rows, width, 500, 60, order, "t-shards"), vectors.packed(rows.filter("vec_id % 2 = 0"), width, 250, 100, order, "t-packs")
+    met = vectors.pairs(shards, packs)
+    plan = _plan(met)
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Exchange" not in plan
+    pairs = [(i, q) for r in met.collect() for i in np.frombuffer(r["ids"], np.int64).tolist() for q in np.frombuffer(r["query_ids"], np.int64).tolist()]
+    assert sorted(pairs) == [(i, q) for i in range(500) for q in range(0, 500, 2)]
+
+
+def test_a_range_may_hold_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_RANGES", 2)
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(500)], "vec_id long, vector array<double>")
+    held = [np.frombuffer(r["ids"], np.int64).tolist() for r in vectors.packed(rows, 1, 500, 60, [rows["vec_id"]], "t-shards").collect()]
+    assert sorted(sum(held, [])) == list(range(500)) and max(map(len, held)) < 120 and len(held) > 2
+
+
+def test_the_sample_is_the_first_by_hash(spark):
+    rows = spark.createDataFrame([(i % 300, [float(i)] * (i % 3 + 1)) for i in range(400)], "vec_id long, vector array<double>").repartition(5)
+    want = rows.selectExpr("xxhash64(vec_id) AS h", "vec_id", "vector").collect()
+    want = [r["vector"] for r in sorted(want, key=lambda r: (r["h"], r["vec_id"]))]
+    for most in (1, 37, 1000):
+        got = ann._sample(rows, 3, most)
+        assert got.shape == (min(most, 400), 3)
+        first = {tuple(v + [0.0] * (3 - len(v))) for v in want[:most + 1]}  # one more: the last hash may be that of two rows
+        assert set(map(tuple, got.tolist())) <= first
+    assert ann._sample(rows.limit(0), 3).tolist() == [[0.0, 0.0, 0.0]]

@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import dedup, filters
-from postloom.streaming import admission, ingest
+from postloom.streaming import admission, ingest, windows
 from postloom.sources.events import read_posting_events, stream_posting_events, tail_events
 from postloom import schemas
 
@@ -231,3 +232,35 @@ def test_batches_lose_no_row(spark, tmp_path, limit):
     assert late == missed and ids(spark.read.schema(ROWS).parquet(f"{base}/t/admitted")) == want
     admission.admit_batch(spark.createDataFrame(parts[2], ROWS), 2, f"{base}/t", "k", "at", "event_id", ttl, limit, timedelta(days=3))
     assert ids(spark.read.schema(ROWS).parquet(f"{base}/t/admitted")) == want
+
+
+def test_ingest_in_slices_keeps_no_working_tables(spark, tmp_path, monkeypatch):
+    rows = [wire(f"{i % 260:03d}", 0, company="AAABC"[i % 260 * 7 % 5], seen_at=START + timedelta(hours=9 * (i % 260))) for i in range(300)]
+    rows += [wire("bad", 0, stack="[1, 2]"), wire("undated", 0, seen_at=None)]
+    events = spark.createDataFrame(rows, WIRE)
+    got = []
+    for size in (1_000, 40):
+        monkeypatch.setattr(ingest, "SLICE_ROWS", size)
+        checks = []
+        monkeypatch.setattr(ingest, "shared_dir", lambda s, name, to=tmp_path / str(size): checks.append(f"{to}/{name}") or checks[-1])
+        base = f"{tmp_path}/{size}/out"
+        for _ in range(2):  # a retry changes nothing
+            ingest.ingest_batch(events, 0, base)
+        got.append(sorted(map(str, ingest.stored_jobs(spark, base).drop("created_at").collect())))
+        assert checks and not any(os.path.exists(c) for c in checks)
+        assert ingest.ingest_counters(spark, base).first()[:4] == (262, 0, 1, len(got[-1]))
+    assert got[0] == got[1] and len(got[0]) > 20
+
+
+def test_windows_to_log_are_worked_out_once(spark, tmp_path):
+    rows, ran = spark.range(1_000).selectExpr("concat('k', id) AS _k", "id * 86400000000 AS _start", "1 AS _n"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    path = f"{tmp_path}/log"
+    windows.append_windows(rows.mapInArrow(seen, rows.schema), path, 0)
+    assert ran.value == 1_000
+    assert windows.known_windows(spark, path, 0, 86_400_000_000 * 1_000, 1, rows).count() == 1_000
